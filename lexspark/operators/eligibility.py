@@ -13,6 +13,7 @@ from lexspark.functions import fixed
 from lexspark.functions.text import cut, or_default
 from lexspark.operators.containment import contains_pairs
 from lexspark.operators.windows import top_k
+from lexspark.session import use_checkpoints
 
 _ANY = "*"
 _CLASS = ["_state", "_who"]
@@ -76,10 +77,12 @@ def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBL
         "income_limit_inr", "scheme_name", "source_file", "ministry", "beneficiary_type",
         F.col("state").alias("scheme_state"), cut(F.col("full_text"), 200).alias("preview"),
     )
-    reachable = reachable_schemes(classed, limit)
+    # A few rows per class, used several times below: the schemes themselves are read once.
+    use_checkpoints(schemes.sparkSession)
+    reachable = reachable_schemes(classed, limit).checkpoint()
     wishes = profiles.withColumn("_wish_state", F.coalesce(F.lower("state"), F.lit(_ANY))) \
         .withColumn("_wish_who", F.coalesce(F.lower("occupation"), F.lit(_ANY)))
-    classes = classed.select(*_CLASS).distinct()
+    classes = reachable.select(*_CLASS).distinct()
     by_state = _keys(wishes, "_wish_state", classes, "_state")
     by_who = _keys(wishes, "_wish_who", classes, "_who")
     admitted = F.col("income_limit_inr").isNull() | (F.col("income_limit_inr") >= F.col("income"))

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from lexspark.functions.text import similarity
 from lexspark.operators.windows import top_k
+from lexspark.session import use_checkpoints
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
@@ -38,6 +39,11 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
 
 
+def _apart(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances to the pivots, the same bits for the same vector in whatever batch it comes."""
+    return np.sqrt(np.stack([((vectors - centre) ** 2).sum(1) for centre in centres], axis=1))
+
+
 def _best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """(query index, id, distance) holding at least the k best per query of this block.
 
@@ -120,7 +126,7 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
 
     @F.pandas_udf(home_type)
     def home(column: pd.Series) -> pd.DataFrame:
-        away = np.sqrt(np.maximum(_squared(_matrix(column), centres), 0.0))
+        away = _apart(_matrix(column), centres)
         cell = away.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": away[np.arange(len(cell)), cell]})
 
@@ -141,12 +147,15 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         blocks = np.maximum(1, -(-load // block_rows))
 
         def per_cell(values: np.ndarray):
-            return F.element_at(F.lit([int(v) for v in values]), F.col("cell") + 1)
+            return F.element_at(F.lit([int(v) for v in values]), F.col("cell") + 1).cast("bigint")
+
+        def every(values: np.ndarray):
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), per_cell(values) - 1))
 
         left = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), per_cell(blocks))) \
-            .withColumn("slice", F.explode(F.sequence(F.lit(0), per_cell(slices) - 1)))
-        right = stored.withColumn("slice", F.pmod(F.xxhash64("vector_id"), per_cell(slices)).cast("int")) \
-            .withColumn("block", F.explode(F.sequence(F.lit(0), per_cell(blocks) - 1)).cast("bigint"))
+            .withColumn("slice", every(slices))
+        right = stored.where(per_cell(load) > 0).withColumn("slice", F.pmod(F.xxhash64("vector_id"), per_cell(slices))) \
+            .withColumn("block", every(blocks))
 
         def match(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
@@ -158,15 +167,16 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         keys = ["cell", "slice", "block"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
 
-    own = top_k(visit(asked), ["query_id"], ["distance", "vector_id"], k)
+    # k rows per query; both the bounds and the result need them.
+    own = top_k(visit(asked), ["query_id"], ["distance", "vector_id"], k).checkpoint()
     bounds = own.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).alias("bound"))
 
     @F.pandas_udf("array<int>")
     def others(column: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
-        away = np.sqrt(np.maximum(_squared(_matrix(column), centres), 0.0))
+        away = _apart(_matrix(column), centres)
         least = np.maximum(np.maximum(away - far, near - away), 0.0)
-        most = np.sqrt(bound.astype("float64").fillna(np.inf).to_numpy())
-        open_cells = (least <= most[:, None] * (1 + 1e-9) + 1e-6) & (rows > 0)
+        most = np.sqrt(bound.astype("float64").fillna(np.inf).to_numpy() + 10.0 ** -_DIGITS)
+        open_cells = (least <= most[:, None] * (1 + 1e-9) + 1e-9) & (rows > 0)
         open_cells[np.arange(len(cell)), cell.to_numpy()] = False
         return pd.Series([np.flatnonzero(row).astype("int32") for row in open_cells])
 
@@ -202,7 +212,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
         found = _scan(asked, stored, k, schema)
         asked.unpersist()
     else:
-        found = _cells(asked, stored, k, schema, pivots, block_rows)
+        use_checkpoints(queries.sparkSession)
+        written = asked.checkpoint()
+        asked.unpersist()
+        found = _cells(written, stored, k, schema, pivots, block_rows)
     best = top_k(found, ["query_id"], ["distance", "vector_id"], k)
     return best.select(F.col("query_id").alias(query_id), F.col("vector_id").alias(vector_id), "rank", "distance",
                        similarity(F.col("distance")).alias("similarity"))

@@ -16,6 +16,7 @@ from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup
 from lexspark.operators.models import Model, score
 from lexspark.operators.vectors import filter_after_ranking, nearest
 from lexspark.operators.windows import top_k
+from lexspark.session import use_checkpoints
 
 RESULT_COLUMNS = ["chunk_id", "section_number", "title", "chunk_text", "source_law", "content_type"]
 LOG_COLUMNS = ["query_id", "original_query", "english_query", "detected_lang", "intent", "agent_used",
@@ -186,7 +187,9 @@ def compare_answers(queries: DataFrame, mapping: DataFrame, chunk_vectors: DataF
     """Section-map row by number, else by topic, else context of the three nearest chunks."""
     by_number = lookup_by_number(queries, mapping)
     by_topic = lookup_by_topic(queries, mapping).where(F.col("rank") == 1).drop("rank")
-    direct = by_number.unionByName(by_topic)
+    # One row per query at most; the rest is searched for, so the hits are needed twice.
+    use_checkpoints(queries.sparkSession)
+    direct = by_number.unionByName(by_topic).checkpoint()
     rest = queries.join(direct.select("query_id"), "query_id", "left_anti").select(
         F.col("query_id").alias("question_id"), tx.fill(fixed.COMPARE_RETRIEVAL_TEXT, query=F.col("query")).alias("question"))
     near = _ordered(retrieve(rest, chunk_vectors, 3), block=F.col("chunk_text")).select(

@@ -75,13 +75,13 @@ def agg_p95_nearest(spark, sf):
 
 
 @query("agg_eval_by_dim", """SELECT dimension, value, count(*) AS total, count(*) FILTER (WHERE correct) AS total_correct,
-  round(avg(correct::int), 6) AS accuracy, round(avg(response_time_ms), 4) AS avg_time_ms FROM (
+  round(avg(correct::int), 6) AS accuracy, round(avg(response_time_ms), 6) AS avg_time_ms FROM (
   SELECT 'all' AS dimension, NULL AS value, * FROM c_eval_results UNION ALL SELECT 'language', language, * FROM c_eval_results
   UNION ALL SELECT 'subject_domain', subject_domain, * FROM c_eval_results UNION ALL SELECT 'topic', topic, * FROM c_eval_results
   UNION ALL SELECT 'level', level, * FROM c_eval_results) GROUP BY dimension, value""")
 def agg_eval_by_dim(spark, sf):
     grouped = evaluation.metrics_by(inputs.eval_results(spark, sf), ["language", "subject_domain", "topic", "level"])
-    return grouped.withColumn("accuracy", F.round("accuracy", 6)).withColumn("avg_time_ms", F.round("avg_time_ms", 4))
+    return grouped.withColumn("accuracy", F.round("accuracy", 6)).withColumn("avg_time_ms", F.round("avg_time_ms", 6))
 
 
 @query("evl_metrics", f"""SELECT {_SCORES}, (SELECT response_time_ms FROM (SELECT response_time_ms, row_number() OVER (ORDER BY response_time_ms) AS rn,
