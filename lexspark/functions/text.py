@@ -5,23 +5,39 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
 
-# Whitespace as Python strings see it: the Unicode property plus the four separator controls.
-SPACE = r"(?U)[\s\x1C-\x1F]"
+# Whitespace as Python strings see it: controls one by one (Java tests those by table), Unicode spaces by category.
+SPACE = r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\p{Z}]"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def squeeze(text: Column) -> Column:
     """Every run of whitespace becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(single_spaces(text))
+
+
+def single_spaces(text: Column) -> Column:
+    """Every run of whitespace becomes one space, at the ends too."""
+    return F.regexp_replace(text, SPACE + "+", " ")
 
 
 def strip(text: Column) -> Column:
     """Whitespace of any kind removed from both ends, inner text untouched."""
-    return F.regexp_replace(text, f"{SPACE}+\\z|\\A{SPACE}+", "")
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and new columns, each computed once per row.
+
+    A plain select followed by a filter makes the optimizer copy the expressions into the filter;
+    for regular expressions over whole texts that doubles the work. A generator is not copied.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def cut(text: Column, chars: int | None) -> Column:

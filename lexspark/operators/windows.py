@@ -66,19 +66,12 @@ def carry_forward(df: DataFrame, group: str, order: str, value: str, default: st
     holding most of the rows is still spread over tasks; only one row per span is chained.
     """
     spans = df.withColumn("_span", F.floor(F.col(order) / span))
-    last_of_span = (
-        spans.where(F.col(value).isNotNull())
-        .groupBy(group, "_span")
-        .agg(F.max_by(value, order).alias("_last"))
-    )
-    # Every span that has rows needs the last heading of the spans before it.
+    # One row per span: its last heading, NULL if it has none.
+    last_of_span = spans.groupBy(group, "_span").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
     before = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    entering = (
-        spans.select(group, "_span").distinct()
-        .join(last_of_span, [group, "_span"], "left")
-        .withColumn("_entering", F.last("_last", ignorenulls=True).over(before))
-        .select(group, "_span", "_entering")
-    )
+    entering = last_of_span.select(
+        group, "_span", F.last("_last", ignorenulls=True).over(before).alias("_entering"))
     inside = Window.partitionBy(group, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     carried = spans.withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
     return (

@@ -35,13 +35,13 @@ def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: st
     Equal questions are embedded and searched once.
     """
     kept = [wanted] if wanted else []
-    asked = questions.select(F.col(text).alias("_text"), *kept).where(F.col("_text").isNotNull()).distinct()
-    asked = asked.withColumn("_ask", F.struct(*asked.columns))
-    asked = asked.withColumn("_ask", F.to_json("_ask"))
+    # Without a wanted source the text itself is the key.
+    ask = F.to_json(F.struct(text, wanted)) if wanted else F.col(text)
+    keyed = questions.select("question_id", text, *kept, ask.alias("_ask")).where(F.col(text).isNotNull())
+    asked = keyed.select(F.col(text).alias("_text"), *kept, "_ask").distinct()
     vectors = embedded(embed(asked, "_text", embedder))
     found = nearest(vectors, chunk_vectors, k, query_id="_ask", wanted=wanted, **options)
     described = found.join(chunk_vectors.select(*RESULT_COLUMNS), "chunk_id")
-    keyed = questions.withColumn("_ask", F.to_json(F.struct(F.col(text).alias("_text"), *kept)))
     return keyed.select("question_id", "_ask").join(described, "_ask").select(
         "question_id", "rank", *RESULT_COLUMNS, "distance", "similarity")
 

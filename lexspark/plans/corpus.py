@@ -19,7 +19,7 @@ _PAGES_PER_GROUP = 256
 # --- raw documents -----------------------------------------------------------------------------
 def clean_documents(documents: DataFrame, max_chars: int | None = fixed.RAW_TEXT_CHARS) -> DataFrame:
     """Squeeze whitespace, note the full length, keep texts longer than 100 characters, then cut."""
-    cleaned = documents.select("filename", tx.squeeze(F.col("text")).alias("text"))
+    cleaned = tx.once(documents, "filename", text=tx.squeeze(F.col("text")))
     return (
         cleaned.withColumn("char_count", F.length("text").cast("bigint"))
         .where(F.col("char_count") > fixed.MIN_DOCUMENT_CHARS)
@@ -33,8 +33,8 @@ def join_pages(pages: DataFrame, max_chars: int | None = fixed.RAW_TEXT_CHARS) -
     Pages are squeezed first and joined in two steps, groups of pages and then files, so that a
     file with very many pages is not gathered by one task in one go. The length is a sum.
     """
-    squeezed = pages.select("filename", "page_no", F.floor(F.col("page_no") / _PAGES_PER_GROUP).alias("_group"),
-                            tx.squeeze(F.col("text")).alias("text")).where(F.col("text") != "")
+    squeezed = tx.once(pages, "filename", "page_no", text=tx.squeeze(F.col("text"))).where(F.col("text") != "") \
+        .withColumn("_group", F.floor(F.col("page_no") / _PAGES_PER_GROUP))
 
     def joined(order: str):
         ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
@@ -71,19 +71,19 @@ def with_chapters(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """One row per paragraph of at least 30 characters, split on blank lines and stripped."""
     others = [c for c in pages.columns if c != "text"]
-    split = usable_pages(pages).select(*others, F.posexplode(F.split("text", fixed.PARAGRAPH_BREAK)))
-    stripped = split.select(*others, F.col("pos").alias("paragraph_no"), tx.strip(F.col("col")).alias("paragraph"))
-    return stripped.where(F.length("paragraph") >= fixed.MIN_PARAGRAPH_CHARS)
+    parts = F.transform(F.split("text", fixed.PARAGRAPH_BREAK), tx.strip)
+    split = usable_pages(pages).select(*others, F.posexplode(parts).alias("paragraph_no", "paragraph"))
+    return split.where(F.length("paragraph") >= fixed.MIN_PARAGRAPH_CHARS)
 
 
 def extract_sections(pages: DataFrame, source_law: str) -> DataFrame:
     """(doc_id, page_no, text) to numbered sections, at most one per paragraph."""
     para = F.col("paragraph")
     by_statute, by_number = fixed.STATUTORY_SECTION, fixed.SIMPLE_SECTION
-    found = paragraphs(with_chapters(pages)).select(
-        "doc_id", "page_no", "paragraph_no", "chapter", "paragraph",
-        *[tx.extract(para, by_statute, g).alias(f"_full_{g}") for g in (1, 2, 3)],
-        *[tx.extract(para, by_number, g).alias(f"_bare_{g}") for g in (0, 1, 2)],
+    found = tx.once(
+        paragraphs(with_chapters(pages)), "doc_id", "page_no", "paragraph_no", "chapter", "paragraph",
+        **{f"_full_{g}": tx.extract(para, by_statute, g) for g in (1, 2, 3)},
+        **{f"_bare_{g}": tx.extract(para, by_number, g) for g in (0, 1, 2)},
     ).where(F.coalesce("_full_1", "_bare_1").isNotNull())
 
     is_full = F.col("_full_1").isNotNull()
@@ -92,12 +92,11 @@ def extract_sections(pages: DataFrame, source_law: str) -> DataFrame:
     body = F.when(is_full, tx.cut(tx.strip(F.col("_full_3")), fixed.SECTION_TEXT_CHARS)).otherwise(
         F.when(F.length(rest) < fixed.MIN_BODY_CHARS, para).otherwise(rest))
     title = tx.strip(F.when(is_full, F.col("_full_2")).otherwise(F.col("_bare_2")))
-    runs = tx.SPACE + "+"
     sections = found.select(
         "doc_id", "page_no", "paragraph_no",
         F.coalesce("_full_1", "_bare_1").alias("section_number"),
-        tx.cut(F.regexp_replace(title, runs, " "), fixed.TITLE_CHARS).alias("title"),
-        tx.cut(F.regexp_replace(body, runs, " "), fixed.SECTION_TEXT_CHARS).alias("full_text"),
+        tx.cut(tx.single_spaces(title), fixed.TITLE_CHARS).alias("title"),
+        tx.cut(tx.single_spaces(body), fixed.SECTION_TEXT_CHARS).alias("full_text"),
         "chapter", F.lit(source_law).alias("source_law"),
     )
     return sections.select(
