@@ -85,16 +85,24 @@ def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBL
     classes = reachable.select(*_CLASS).distinct()
     by_state = _keys(wishes, "_wish_state", classes, "_state")
     by_who = _keys(wishes, "_wish_who", classes, "_who")
+    # Whoever wishes the same with the same income sees the same schemes: match each case once.
+    case = ["_wish_state", "_wish_who", "income"]
     admitted = F.col("income_limit_inr").isNull() | (F.col("income_limit_inr") >= F.col("income"))
     matches = (
-        wishes.select("profile_id", "income", "_wish_state", "_wish_who")
+        wishes.select(*case).distinct()
         .join(by_state, "_wish_state").join(by_who, "_wish_who")
         .join(reachable, _CLASS)
         .where(admitted)
     )
-    ranked = top_k(matches, ["profile_id"], _ORDER, limit)
-    return ranked.select("profile_id", "rank", "source_file", "scheme_name", "ministry", "beneficiary_type",
-                         "scheme_state", "income_limit_inr", "preview")
+    ranked = top_k(matches, case, _ORDER, limit).withColumnRenamed("income", "_income")
+    found = ranked.select(*[F.col(c).alias(f"_f{c}") for c in ("_wish_state", "_wish_who", "_income")], "rank",
+                          "source_file", "scheme_name", "ministry", "beneficiary_type", "scheme_state",
+                          "income_limit_inr", "preview")
+    same = (F.col("_wish_state") == F.col("_f_wish_state")) & (F.col("_wish_who") == F.col("_f_wish_who")) \
+        & F.col("income").eqNullSafe(F.col("_f_income"))
+    return wishes.select("profile_id", *case).join(found, same).select(
+        "profile_id", "rank", "source_file", "scheme_name", "ministry", "beneficiary_type", "scheme_state",
+        "income_limit_inr", "preview")
 
 
 def eligible_by_state(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBLE_ROWS,
@@ -115,6 +123,8 @@ def eligible_by_state(profiles: DataFrame, schemes: DataFrame, limit: int = fixe
     first = top_k(filed, ["_file"], _ORDER, limit, "_file_rank")
     files = F.when(F.col("state") == everywhere, F.array(F.lit("any"))).otherwise(
         F.array_compact(F.array(F.lit("everywhere"), F.concat(F.lit("state:"), "state"))))
-    wanted = profiles.select("profile_id", F.explode(files).alias("_file"))
-    ranked = top_k(wanted.join(first, "_file"), ["profile_id"], _ORDER, limit)
-    return ranked.select("profile_id", "rank", "source_file", "scheme_name", "ministry", "beneficiary_type")
+    # Each state is answered once, whatever the number of its profiles.
+    wanted = profiles.select("state").distinct().select(F.col("state").alias("_state"), F.explode(files).alias("_file"))
+    ranked = top_k(wanted.join(first, "_file"), ["_state"], _ORDER, limit)
+    return profiles.join(ranked, F.col("state").eqNullSafe(F.col("_state"))).select(
+        "profile_id", "rank", "source_file", "scheme_name", "ministry", "beneficiary_type")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexspark.session import use_checkpoints
 
+_BROADCAST_ROWS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a task in its low 33 bits
 
 
@@ -20,12 +21,13 @@ def top_k(df: DataFrame, partition_by: Sequence[str | Column], order_by: Sequenc
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
-                      name: str = "row_id") -> DataFrame:
+                      name: str = "row_id", total: str | None = None) -> DataFrame:
     """Dense 1..n numbering, over everything or per group, without one task seeing it all.
 
     Rows are range-partitioned and sorted by (group, order), checkpointed so that the cut points
     cannot move, and numbered by position: rows of the group in earlier partitions + own place.
     Give a unique last sort column to make ties stable and to let a hot key be split.
+    ``total`` names a column for the number of rows of the group.
     """
     use_checkpoints(df.sparkSession)
     keys = [*partition_by, *order_by]
@@ -37,20 +39,27 @@ def global_row_number(df: DataFrame, order_by: Sequence[str], partition_by: Sequ
         .checkpoint()
     )
     counts = placed.groupBy("_part", *partition_by).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
-    # One row per range partition and group, so this window is as small as the partition count.
-    earlier = Window.partitionBy(*partition_by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range partition and group, so these windows are as small as the partition count.
+    group = Window.partitionBy(*partition_by)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("_part").alias("_p"),
         "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(group).alias("_total"),
         *[F.col(c).alias(f"_g_{c}") for c in partition_by],
     )
+    # Ungrouped there is one row per range partition; groups are counted before they are broadcast.
+    if not partition_by or starts.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     same = F.col("_part") == F.col("_p")
     for column in partition_by:
         same = same & F.col(column).eqNullSafe(F.col(f"_g_{column}"))
-    numbered = placed.join(starts, same)
     row_id = F.col("_before") + F.col("_place") - F.col("_first") + 1
-    return numbered.withColumn(name, row_id).select(*df.columns, name)
+    numbered = placed.join(starts, same).withColumn(name, row_id)
+    if total:
+        numbered = numbered.withColumn(total, F.col("_total"))
+    return numbered.select(*df.columns, name, *([total] if total else []))
 
 
 def batch_number(df: DataFrame, order_by: Sequence[str], size: int, name: str = "batch_num") -> DataFrame:
@@ -84,16 +93,6 @@ def carry_forward(df: DataFrame, group: str, order: str, value: str, default: st
 def nearest_rank(df: DataFrame, value: str, unique: str, groups: Sequence[str] = (), fraction: float = 0.95,
                  name: str = "p95") -> DataFrame:
     """Per group the value at 0-based position floor(fraction * n) of the ascending order."""
-    needed = df.select(*groups, value, unique)
-    ranked = global_row_number(needed, [value, unique], groups, name="_rank")
-    sizes = needed.groupBy(*groups).agg(F.count("*").alias("_n"))
-    target = F.floor(F.lit(fraction) * F.col("_n")) + 1
-    if not groups:
-        # The sizes table is a single row.
-        found = ranked.join(F.broadcast(sizes), F.col("_rank") == target)
-        return found.select(F.col(value).alias(name))
-    renamed = sizes.select("_n", *[F.col(g).alias(f"_s_{g}") for g in groups])
-    same = F.col("_rank") == target
-    for column in groups:
-        same = same & F.col(column).eqNullSafe(F.col(f"_s_{column}"))
-    return ranked.join(renamed, same).select(*groups, F.col(value).alias(name))
+    ranked = global_row_number(df.select(*groups, value, unique), [value, unique], groups, "_rank", "_total")
+    target = F.floor(F.lit(fraction) * F.col("_total")) + 1
+    return ranked.where(F.col("_rank") == target).select(*groups, F.col(value).alias(name))

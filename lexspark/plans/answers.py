@@ -88,7 +88,9 @@ def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted
 def hybrid(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: str = "question",
            wanted: str | None = None, embedder=None) -> DataFrame:
     """Nearest chunks; questions without any fall back to keyword search."""
-    near = retrieve(questions, chunk_vectors, k, text=text, wanted=wanted, embedder=embedder)
+    # k rows per question, needed as a result and to see which questions came away empty.
+    use_checkpoints(questions.sparkSession)
+    near = retrieve(questions, chunk_vectors, k, text=text, wanted=wanted, embedder=embedder).checkpoint()
     empty = questions.join(near.select("question_id").distinct(), "question_id", "left_anti")
     fallback = keyword_search(empty, chunk_vectors, k, text)
     columns = ["question_id", "rank", *RESULT_COLUMNS, "similarity"]
