@@ -28,6 +28,8 @@ def _grams(token: str, sizes: list[int]) -> Column:
 def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
     """Distinct (pattern, text_id) with the pattern literally inside the text; blank patterns match nothing.
 
+    Text ids are unique; patterns may repeat.
+
     A text can contain a pattern only if, for each word of the pattern, one of its own
     whitespace-separated tokens contains that word. So words are matched against the *vocabulary*
     of the texts on short character grams, the pattern word found in the fewest texts becomes its
@@ -66,5 +68,4 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
         candidates.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
         .where(F.contains("_text", "_pattern"))
         .select(F.col("_pattern").alias(pattern), text_id)
-        .distinct()
     )

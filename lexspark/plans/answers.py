@@ -213,11 +213,28 @@ def compare_answers(queries: DataFrame, mapping: DataFrame, chunk_vectors: DataF
 
 
 # --- routing -----------------------------------------------------------------------------------
+def translate(df: DataFrame, source: str, target: str, language: str, model: Model | None) -> DataFrame:
+    """``target``: the text in ``source``, through a caller's model where ``detected_lang`` is ``language``.
+
+    Without a model, and where the model fails, the text stays as it is.
+    """
+    if model is None:
+        return df.withColumn(target, F.col(source))
+    foreign = F.when(F.col("detected_lang") == language, F.col(source))
+    asked = df.withColumn("_foreign", foreign)
+    scored = score(asked, "_foreign", [("translator", model)], F.col(source))
+    return scored.withColumnRenamed("answer", target).drop("model_used", "_foreign")
+
+
 def classify(questions: DataFrame, ladder=fixed.AGENT_LADDER, default: str = fixed.AGENT_DEFAULT,
-             script: str = fixed.DEVANAGARI, threshold: float = 0.5) -> DataFrame:
-    """Language flag, intent, and the route taken: a scheme question without profile goes the legal way."""
-    labelled = questions.withColumn("detected_lang", tx.script_flag(F.col("question"), script, threshold)) \
-        .withColumn("intent", tx.ladder(F.col("question"), ladder, default))
+             script: str = fixed.DEVANAGARI, threshold: float = 0.5, to_english: Model | None = None) -> DataFrame:
+    """Language flag, English text, intent, and the route taken.
+
+    A scheme question without profile goes the legal way but keeps its intent.
+    """
+    flagged = questions.withColumn("detected_lang", tx.script_flag(F.col("question"), script, threshold))
+    labelled = translate(flagged, "question", "english_query", "hi", to_english).withColumn(
+        "intent", tx.ladder(F.col("english_query"), ladder, default))
     has_profile = F.col("state").isNotNull() if "state" in questions.columns else F.lit(True)
     return labelled.withColumn(
         "agent_used",
@@ -227,14 +244,18 @@ def classify(questions: DataFrame, ladder=fixed.AGENT_LADDER, default: str = fix
 
 
 def route(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, schemes: DataFrame,
-          mapping: DataFrame, models: Sequence[tuple[str, Model]] = (), **classify_options) -> DataFrame:
+          mapping: DataFrame, models: Sequence[tuple[str, Model]] = (), to_hindi: Model | None = None,
+          **classify_options) -> DataFrame:
     """Every question through its own path; one result row each.
 
     ``questions``: question_id, question and, for known applicants, state, income, occupation, category.
     """
-    routed = classify(questions, **classify_options)
-    legal = legal_answers(routed.where(F.col("agent_used") == fixed.LEGAL_ROUTE), chunk_vectors, sections, models=models)
-    asking = routed.where(F.col("agent_used") == fixed.SCHEME_ROUTE)
+    # Read by every path below; translated and classified once.
+    use_checkpoints(questions.sparkSession)
+    routed = classify(questions, **classify_options).checkpoint()
+    asked = routed.withColumn("question", F.col("english_query"))
+    legal = legal_answers(asked.where(F.col("agent_used") == fixed.LEGAL_ROUTE), chunk_vectors, sections, models=models)
+    asking = asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE)
     # Equal profiles are matched once.
     person = ["state", "income", "occupation", "category"]
     who = F.to_json(F.struct(*person))
@@ -243,7 +264,7 @@ def route(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, s
         scheme_answers(profiles, schemes, models).select("profile_id", "eligible_schemes", "total_found", "answer"),
         "profile_id")
     compare = compare_answers(
-        routed.where(F.col("agent_used") == fixed.COMPARE_ROUTE).select(
+        asked.where(F.col("agent_used") == fixed.COMPARE_ROUTE).select(
             F.col("question_id").alias("query_id"), F.col("question").alias("query")),
         mapping, chunk_vectors, models)
     results = (
@@ -252,7 +273,11 @@ def route(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, s
         .unionByName(compare.select(F.col("query_id").alias("question_id"), F.col("explanation").alias("answer"),
                                     "found_direct_match", "ipc_section", "bns_section"), allowMissingColumns=True)
     )
-    return routed.select("question_id", "question", "detected_lang", "intent", "agent_used").join(results, "question_id")
+    answered = routed.select("question_id", "question", "english_query", "detected_lang", "intent", "agent_used").join(
+        results, "question_id")
+    in_hindi = translate(answered, "answer", "_hindi", "hi", to_hindi) if to_hindi else answered.withColumn(
+        "_hindi", F.lit(None).cast("string"))
+    return in_hindi.withColumn("answer_hindi", F.when(F.col("detected_lang") == "hi", F.col("_hindi"))).drop("_hindi")
 
 
 def log_rows(routed: DataFrame, query_id=None, response_time_ms=None, timestamp=None) -> DataFrame:
@@ -260,8 +285,7 @@ def log_rows(routed: DataFrame, query_id=None, response_time_ms=None, timestamp=
     return routed.select(
         (F.uuid() if query_id is None else query_id).alias("query_id"),
         F.col("question").alias("original_query"),
-        F.col("question").alias("english_query"),
-        "detected_lang", "intent", "agent_used",
+        "english_query", "detected_lang", "intent", "agent_used",
         (F.lit(0) if response_time_ms is None else response_time_ms).cast("bigint").alias("response_time_ms"),
         (F.current_timestamp() if timestamp is None else timestamp).alias("timestamp"),
     )

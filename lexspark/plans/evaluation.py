@@ -127,3 +127,12 @@ def metrics_by(results: DataFrame, dimensions: Sequence[str]) -> DataFrame:
         named.alias("dimension"), F.count("*").alias("total"), F.sum(hit).alias("total_correct"),
         F.avg(hit).alias("accuracy"), F.avg("response_time_ms").alias("avg_time_ms"),
     ).select("dimension", F.coalesce(*dimensions).alias("value"), "total", "total_correct", "accuracy", "avg_time_ms")
+
+
+def latency_percentiles(results: DataFrame, groups: Sequence[str], fractions: Sequence[float] = (0.5, 0.95),
+                        accuracy: int = 10_000) -> DataFrame:
+    """Approximate percentiles per group, combined inside tasks; ``nearest_rank`` gives exact ones."""
+    wanted = F.percentile_approx("response_time_ms", list(fractions), accuracy)
+    made = results.groupBy(*groups).agg(F.count("*").alias("total"), wanted.alias("_p"))
+    return made.select(*groups, "total", *[
+        F.col("_p")[i].alias(f"p{round(100 * f)}_time_ms") for i, f in enumerate(fractions)])

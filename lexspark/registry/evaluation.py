@@ -90,6 +90,11 @@ def evl_metrics(spark, sf):
     return _rounded(evaluation.full_metrics(inputs.eval_results(spark, sf), "fr"))
 
 
+@query("agg_latency_percentiles")
+def agg_latency_percentiles(spark, sf):
+    return evaluation.latency_percentiles(inputs.eval_results(spark, sf), ["language"])
+
+
 @query("srt_latest_results", """SELECT test_id, language, topic, level, correct, keywords_matched, total_keywords, trunc(response_time_ms)::int AS time_ms
 FROM c_eval_results ORDER BY test_id DESC LIMIT 10""")
 def srt_latest_results(spark, sf):

@@ -8,7 +8,7 @@ from lexspark.functions import fixed
 from lexspark.functions import text as tx
 from lexspark.operators import lookups, reports, windows
 from lexspark.operators.changes import new_files, snapshot_diff
-from lexspark.plans import corpus
+from lexspark.plans import corpus, prompts
 from lexspark.registry import inputs
 from lexspark.registry.base import query
 from lexspark.registry.steps import phrases, squeezed
@@ -419,6 +419,23 @@ def txt_prompt_assembly(spark, sf):
         tx.prompt(title, detail).alias("question_prompt"))
 
 
+@query("txt_scheme_prompts", """SELECT source_file, 'Classify this government scheme beneficiary into ONE category: Farmer, Student, Women, Youth, Senior Citizen, or General. Scheme: '
+  || coalesce(scheme_name, '') || ' Description: ' || left(full_text, 300) AS classify_prompt,
+  'Extract from this scheme description: beneficiary type, income limit, and top 2 required documents. Scheme: '
+  || coalesce(scheme_name, '') || ' ' || left(full_text, 400) AS extract_prompt FROM c_schemes""")
+def txt_scheme_prompts(spark, sf):
+    classified = prompts.classify_schemes(inputs.schemes(spark, sf)).withColumnRenamed("prompt", "classify_prompt")
+    both = prompts.extract_from_schemes(classified).withColumnRenamed("prompt", "extract_prompt")
+    return both.select("source_file", "classify_prompt", "extract_prompt")
+
+
+@query("txt_section_prompts", """SELECT page_number, paragraph_no, doc_id,
+  'Summarize this Indian criminal law section in 2 simple sentences for a common citizen: Section ' || section_number || ' - ' || title || ': '
+  || left(full_text, 500) AS prompt FROM c_sections""")
+def txt_section_prompts(spark, sf):
+    return prompts.summarize_sections(inputs.sections(spark, sf)).select("page_number", "paragraph_no", "doc_id", "prompt")
+
+
 _REPLY = """CASE question_id % 3 WHEN 0 THEN 'Q: ' || question || ' Answer: first. Answer:  ' || question || ' '
   WHEN 1 THEN question || ' उत्तर: ' || question ELSE question || '  plain reply ' END"""
 

@@ -322,6 +322,19 @@ def rag_route(spark, sf):
         F.array_join("sections_cited", ",").alias("sections_cited"), "total_found", "found_direct_match")
 
 
+def _translated(texts):
+    return [f"In English: {text}" for text in texts]
+
+
+@query("rag_translated_intent", f"""SELECT question_id, 'In English: ' || question AS english_query, {_ladder_sql('question', fixed.APP_LADDER, 'legal_query')} AS intent
+FROM v_questions""")
+def rag_translated_intent(spark, sf):
+    """Every question counts as foreign here, so that the translator sees them all."""
+    routed = answers.classify(view(spark, sf, "questions"), fixed.APP_LADDER, fixed.APP_DEFAULT, script=".",
+                              threshold=0.0, to_english=_translated)
+    return routed.select("question_id", "english_query", "intent")
+
+
 @query("rag_log_rows", """SELECT question_id::varchar AS query_id, question AS original_query, question AS english_query, detected_lang, intent, agent_used,
   length(question) AS response_time_ms FROM c_routed""")
 def rag_log_rows(spark, sf):

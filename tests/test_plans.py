@@ -148,6 +148,27 @@ def test_route_sends_each_question_its_way(spark):
     assert answers.log_rows(routed).select("query_id").distinct().count() == 4
 
 
+def test_hindi_goes_through_the_translators(spark):
+    asked = spark.createDataFrame([(1, "हत्या की सजा क्या है?"), (2, "What is Section 103?")], "question_id long, question string")
+
+    def to_english(texts):
+        return ["How did the old law on murder change?"] * len(texts)
+
+    got = {r.question_id: r for r in answers.classify(asked, to_english=to_english).collect()}
+    assert (got[1].detected_lang, got[1].intent, got[1].question) == ("hi", "law_comparison", "हत्या की सजा क्या है?")
+    assert (got[2].detected_lang, got[2].english_query) == ("en", "What is Section 103?")
+
+    def down(texts):
+        raise OSError("no model")
+
+    assert {r.english_query for r in answers.classify(asked, to_english=down).collect()} == {r.question for r in asked.collect()}
+
+
+def test_percentiles_per_group(spark):
+    df = spark.range(1, 101).select(F.col("id").cast("double").alias("response_time_ms"), F.lit("en").alias("language"))
+    assert tuple(evaluation.latency_percentiles(df, ["language"]).first()) == ("en", 100, 50.0, 95.0)
+
+
 def test_cases_are_prepared_and_capped(spark):
     rows = [(i, "en" if i % 2 else "hi", "Q", "a", "b", "c", "d", [None, " b ", "Z"][i % 3], None, fixed.EVALUATION_DOMAINS[0] if i % 5 else "Tax", "") for i in range(60)]
     df = spark.createDataFrame(rows, "item_id long, language string, question string, option_a string, option_b string, option_c string, option_d string, correct_answer string, topic string, subject_domain string, question_level string")
