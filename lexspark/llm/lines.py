@@ -39,7 +39,9 @@ def repeated_lines(documents: DataFrame, run: int = 3) -> DataFrame:
     joined = windows.join(met, "fingerprint")
     place = F.struct("doc_id", "line")
     first = joined.groupBy("fingerprint", "window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
-    later = joined.join(first.drop("last"), ["fingerprint", "window"]).filter("struct(doc_id, line) > first")
+    # Written first, so that the join deals out both sides itself and can split a hot window.
+    first = saved(first.drop("last"), "first-windows")
+    later = joined.join(first, ["fingerprint", "window"]).filter("struct(doc_id, line) > first")
     return later.select("doc_id", "version", F.explode(F.sequence("line", F.col("line") + (run - 1))).alias("line")).distinct()
 
 
