@@ -150,8 +150,9 @@ class RepeatedPassages:
         for table, keys, size in ((self.pieces.filter("NOT branching"), ["minimizer", "piece"], F.col("edges")),
                                   (edges, ["minimizer", "edge"], F.lit(1))):
             sources = table.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("high"))
-            hit = (table.join(sources.filter("source.doc_id < high").drop("high"), keys)
-                   .filter("source.doc_id < doc_id")
+            # Written first, so that the join deals out both sides itself and can split a hot key.
+            sources = saved(sources.filter("source.doc_id < high").drop("high"), "sources")
+            hit = (table.join(sources, keys).filter("source.doc_id < doc_id")
                    .select("doc_id", "start", (F.col("start") + size + self.window - 1).alias("end"),
                            F.col("source.doc_id").alias("source_doc_id"), F.col("source.start").alias("source_start")))
             found = hit if found is None else found.union(hit)
