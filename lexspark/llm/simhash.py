@@ -81,10 +81,12 @@ def links(distinct: DataFrame) -> DataFrame:
     lookups = distinct.select("fingerprint", F.inline(F.concat(stored, near)))
     matched = (lookups.groupBy("table", "key")
                .agg(F.count("*").alias("met"), F.max("stored").alias("stored")).filter("stored AND met > 1"))
-    suspects = saved(lookups.join(matched.select("table", "key"), ["table", "key"]).select("fingerprint").distinct(), "suspects")
+    # Exploded rows look as few as their source to the optimizer; the hints keep it from broadcasting them.
+    met = lookups.hint("merge").join(matched.select("table", "key"), ["table", "key"])
+    suspects = saved(met.select("fingerprint").distinct(), "suspects")
     around = suspects.select("fingerprint", F.explode(F.concat(F.array("fingerprint"), _flips(value, range(64), False))).alias("middle"))
     centres = around.groupBy("middle").agg(F.min("fingerprint").alias("centre"), F.max("fingerprint").alias("other"))
-    edges = around.join(centres.filter("centre < other").drop("other"), "middle").filter("fingerprint != centre")
+    edges = around.hint("merge").join(centres.filter("centre < other").drop("other"), "middle").filter("fingerprint != centre")
     verified = edges.filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("centre"))) <= 2)
     return verified.select(F.col("fingerprint").alias("a"), F.col("centre").alias("b")).distinct()
 
