@@ -32,7 +32,7 @@ _IDENTIFIERS = re.compile("|".join((
     r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}",  # digests by length
     r"[0-9]+(?:[-_/][0-9]+)*",  # numbers and dates
 )))
-_WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
+_WORDS = re.compile(r"[A-Za-z][a-z]{5,}|[A-Z]{6,}")
 
 
 def base_spans(text: str) -> list[Span]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -63,7 +62,3 @@ def digest(found: DataFrame, base: Sequence[str], kinds: Sequence[str]) -> DataF
     return found.select(
         "doc_id", *[number(kind) for kind in base],
         F.sha2(text(F.filter("_spans", lambda s: s["base"])), 256).alias("base_sha256"), text(F.col("_spans")).alias("spans"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
