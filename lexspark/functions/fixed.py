@@ -1,20 +1,17 @@
 """Patterns, word lists, wordings and limits that decide the results."""
 
+# --- profile: what a question lacks when it has a profile at all ---------------------------------
+PROFILE_DEFAULTS = {"state": "All", "income": 500000, "occupation": "General", "category": "General"}
+APP_PROFILE = {"state": "All India", "income": 200000, "occupation": "General", "category": "General"}
+APP_SCHEME_PROMPT = "Recommend top 3 schemes for {occupation} with income ₹{income} in {state}"
+APP_COMPARE_PROMPT = "Explain how {query}"
+APP_CONTEXT_SCHEMES = 5
+
 # --- limits (characters, rows) -----------------------------------------------------------------
-RAW_TEXT_CHARS = 50_000
-SCHEME_TEXT_CHARS = 5_000
-SECTION_TEXT_CHARS = 3_000
-SECTION_CHUNK_CHARS = 500
-SCHEME_CHUNK_CHARS = 400
-TITLE_CHARS = 200
-RESULT_CHARS = 200
-CONTEXT_CHARS = 500
-KEYWORD_TEXT_CHARS = 500
 MIN_DOCUMENT_CHARS = 100
 MIN_PAGE_CHARS = 50
 MIN_PARAGRAPH_CHARS = 30
 MIN_BODY_CHARS = 20
-MAX_KEYWORDS = 10
 FILES_PER_BATCH = 50
 EMBED_BATCH = 10
 EMBED_TRIES = 3
@@ -82,7 +79,9 @@ CHANGE_IMPACT = {
 CHANGE_IMPACT_OTHER = "Review specific changes for details"
 
 # --- wordings ----------------------------------------------------------------------------------
-ASSISTANT_ROLE = "You are an AI legal assistant. Be concise and cite section numbers."
+ASSISTANT_ROLE = (
+    "You are an AI legal assistant for Indian law. You help with BNS 2023, BNSS 2023, and BSA 2023. "
+    "Be concise and cite section numbers. Answer in Hindi if asked in Hindi.")
 PROMPT_CONTEXT = "\n\nसंदर्भ/Context:\n"
 PROMPT_QUESTION = "\n\nप्रश्न/Question: "
 PROMPT_ANSWER = "\n\nउत्तर/Answer:"
@@ -101,6 +100,8 @@ CLASSIFY_PROMPT = (
     "Classify this government scheme beneficiary into ONE category: Farmer, Student, Women, Youth, Senior "
     "Citizen, or General. Scheme: {name} Description: {text}"
 )
+ONE_WORD_PROMPT = (
+    "Classify beneficiary as ONE word: Farmer, Student, Women, Youth, Rural, or General. Scheme: {text}")
 EXTRACT_PROMPT = (
     "Extract from this scheme description: beneficiary type, income limit, and top 2 required documents. "
     "Scheme: {name} {text}"

@@ -76,11 +76,12 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-def keywords(title: Column, body: Column) -> Column:
-    """Capitalised phrases of one to three words, in order of first sight, as a comma list."""
-    text = F.concat_ws(" ", title, cut(body, fixed.KEYWORD_TEXT_CHARS))
+def keywords(title: Column, body: Column, body_chars: int | None = None, most: int | None = None) -> Column:
+    """Capitalised phrases of one to three words, in order of first sight, as a comma list; all of them by default."""
+    text = F.concat_ws(" ", title, cut(body, body_chars))
     found = F.regexp_extract_all(text, F.lit(fixed.CAPITALISED_PHRASE), F.lit(0))
-    return F.array_join(F.slice(F.array_distinct(found), 1, fixed.MAX_KEYWORDS), ", ")
+    distinct = F.array_distinct(found)
+    return F.array_join(distinct if most is None else F.slice(distinct, 1, most), ", ")
 
 
 def chapter_heading(page: Column) -> Column:
@@ -153,13 +154,14 @@ def option_text(letter: Column, answer: Column, options: dict[str, Column]) -> C
     return or_default(text, "")
 
 
-def prompt(question: Column, context: Column | None = None, role: str = fixed.ASSISTANT_ROLE) -> Column:
-    """Role, optional context (first 500 characters) and question for a model."""
+def prompt(question: Column, context: Column | None = None, role: str = fixed.ASSISTANT_ROLE,
+           context_chars: int | None = None) -> Column:
+    """Role, optional context (whole by default) and question for a model."""
     tail = [F.lit(fixed.PROMPT_QUESTION), question, F.lit(fixed.PROMPT_ANSWER)]
     plain = F.concat(F.lit(role), *tail)
     if context is None:
         return plain
-    grounded = F.concat(F.lit(role), F.lit(fixed.PROMPT_CONTEXT), cut(context, fixed.CONTEXT_CHARS), *tail)
+    grounded = F.concat(F.lit(role), F.lit(fixed.PROMPT_CONTEXT), cut(context, context_chars), *tail)
     return F.when(context != "", grounded).otherwise(plain)
 
 
@@ -207,4 +209,4 @@ def matched_keywords(words: Column, answer: Column) -> Column:
 def first_long_word(question: Column) -> Column:
     """First lower-cased word longer than three characters, ``section`` if there is none."""
     words = F.filter(F.split(squeeze(F.lower(question)), " "), lambda w: F.length(w) > 3)
-    return F.coalesce(cut(F.try_element_at(words, F.lit(1)), 100), F.lit(fixed.DEFAULT_KEYWORD))
+    return F.coalesce(F.try_element_at(words, F.lit(1)), F.lit(fixed.DEFAULT_KEYWORD))

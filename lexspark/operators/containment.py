@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import squeeze
+from lexspark.functions.text import SPACE, squeeze
+from lexspark.session import use_checkpoints
 
 _GRAM = 4
 
@@ -33,7 +34,8 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
     A text can contain a pattern only if, for each word of the pattern, one of its own
     whitespace-separated tokens contains that word. So words are matched against the *vocabulary*
     of the texts on short character grams, the pattern word found in the fewest texts becomes its
-    anchor, and only texts holding a token of the anchor are compared with the pattern.
+    anchor, and only texts holding a token of the anchor are compared with the pattern. A pattern of one
+    word needs no comparison: a token that holds the word proves the text does.
     """
     wanted = patterns.select(F.col(pattern).alias("_pattern")).where(squeeze(F.col(pattern)) != "").distinct()
     words = wanted.select("_pattern", F.explode(_tokens("_pattern")).alias("_word"))
@@ -42,7 +44,7 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
     # At most _GRAM rows: the gram lengths that short words make necessary.
     sizes = sorted(row[0] for row in distinct_words.select(F.length("_gram")).distinct().limit(_GRAM).collect())
     if not sizes:
-        return wanted.select("_pattern", F.lit(None).cast("string").alias(text_id)).where(F.lit(False)) \
+        return wanted.select("_pattern", F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id)).where(F.lit(False)) \
             .withColumnRenamed("_pattern", pattern)
 
     tokens = texts.select(text_id, F.explode(_tokens(text)).alias("_token"))
@@ -63,9 +65,12 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
         .select("_pattern", F.col("_rarest._word").alias("_word"))
     )
     leads = anchors.join(matched, "_word").select("_pattern", "_token")
-    candidates = tokens.join(leads, "_token").select("_pattern", text_id).distinct()
-    return (
-        candidates.join(texts.select(text_id, F.col(text).alias("_text")), text_id)
-        .where(F.contains("_text", "_pattern"))
-        .select(F.col("_pattern").alias(pattern), text_id)
+    # Pairs of small ids, needed twice.
+    use_checkpoints(patterns.sparkSession)
+    candidates = tokens.join(leads, "_token").select("_pattern", text_id).distinct().checkpoint()
+    proven = ~F.col("_pattern").rlike(SPACE)
+    compared = (
+        candidates.where(~proven).join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+        .where(F.contains("_text", "_pattern")).select("_pattern", text_id)
     )
+    return candidates.where(proven).unionByName(compared).withColumnRenamed("_pattern", pattern)

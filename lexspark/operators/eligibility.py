@@ -63,7 +63,8 @@ def _keys(profiles: DataFrame, wish: str, classes: DataFrame, label: str) -> Dat
     return inside.unionByName(blank).unionByName(everyone).withColumnRenamed("_value", label)
 
 
-def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBLE_ROWS) -> DataFrame:
+def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBLE_ROWS,
+             preview_chars: int | None = None) -> DataFrame:
     """First ``limit`` schemes by name for each profile.
 
     State and occupation match as substrings without regard to case, a scheme without state,
@@ -75,7 +76,7 @@ def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBL
         F.when(state.isNull() | F.contains(state, F.lit("all")), F.lit(_ANY)).otherwise(state).alias("_state"),
         F.when(who.isNull() | F.contains(who, F.lit("general")), F.lit(_ANY)).otherwise(who).alias("_who"),
         "income_limit_inr", "scheme_name", "source_file", "ministry", "beneficiary_type",
-        F.col("state").alias("scheme_state"), cut(F.col("full_text"), 200).alias("preview"),
+        F.col("state").alias("scheme_state"), cut(F.col("full_text"), preview_chars).alias("preview"),
     )
     # A few rows per class, used several times below: the schemes themselves are read once.
     use_checkpoints(schemes.sparkSession)

@@ -98,17 +98,30 @@ def embedded(df: DataFrame) -> DataFrame:
     return df.where(F.col("embed_status") == "ok").drop("embed_status", "embed_error")
 
 
+def failures(df: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, embed_error) of the rows that did not."""
+    return df.where(F.col("embed_status") != "ok").select(key, "embed_error")
+
+
+def status_counts(df: DataFrame) -> DataFrame:
+    """Rows per status and error."""
+    return df.groupBy("embed_status", "embed_error").agg(F.count("*").alias("row_count"))
+
+
 def embed_incremental(old_vectors: DataFrame, old_chunks: DataFrame, new_chunks: DataFrame,
                       embedder: Embedder | None = None, key: str = "chunk_id", text: str = "chunk_text",
                       **options) -> DataFrame:
-    """Vectors of the new snapshot: only inserted and changed chunks are embedded again."""
+    """Vectors of the new snapshot: inserted and changed chunks, and those without a vector, are embedded.
+
+    ``embed_status`` and ``embed_error`` tell which of them failed; these stay with a NULL vector and are
+    tried again by the next run, since ``old_vectors`` counts only rows that have one.
+    """
     changes = snapshot_diff(old_chunks, new_chunks, key)
-    touched = changes.where(F.col("change").isin("insert", "update")).select(key)
-    fresh = embedded(embed(new_chunks.join(touched, key, "left_semi"), text, embedder, **options))
-    gone = changes.select(key)
-    kept = old_vectors.join(gone, key, "left_anti")
+    held = old_vectors.where(F.col("embedding").isNotNull()).drop("embed_status", "embed_error", "origin")
+    kept = held.join(changes.select(key), key, "left_anti").join(new_chunks.select(key), key, "left_semi")
+    fresh = embed(new_chunks.join(kept.select(key), key, "left_anti"), text, embedder, **options)
     return (
-        kept.withColumn("origin", F.lit("kept"))
+        kept.withColumns({"embed_status": F.lit("ok"), "embed_error": F.lit(None).cast("string"), "origin": F.lit("kept")})
         .unionByName(fresh.withColumn("origin", F.lit("embedded")), allowMissingColumns=True)
     )
 

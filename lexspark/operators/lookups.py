@@ -27,7 +27,10 @@ def lookup_section(questions: DataFrame, sections: DataFrame) -> DataFrame:
                         F.col("full_text").alias("found_text"), F.col("source_law").alias("found_law")),
         "found_section", ["found_law", "found_title", "found_text"])
     asked = questions.withColumn("asked_section", section_reference(F.col("question")))
-    return asked.join(one_each, F.col("asked_section") == F.col("found_section"), "left")
+    naming = asked.where(F.col("asked_section").isNotNull()).join(
+        one_each, F.col("asked_section") == F.col("found_section"), "left")
+    # Questions that name no section stay where they are instead of meeting under NULL in one task.
+    return naming.unionByName(asked.where(F.col("asked_section").isNull()), allowMissingColumns=True)
 
 
 def lookup_by_number(queries: DataFrame, mapping: DataFrame) -> DataFrame:

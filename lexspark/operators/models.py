@@ -9,19 +9,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
+from lexspark.session import use_checkpoints
 
 Model = Callable[[Sequence[str]], Sequence[str]]
 
 
 def score(df: DataFrame, prompt: str, models: Sequence[tuple[str, Model]], fallback: Column,
-          batch_size: int = fixed.EMBED_BATCH) -> DataFrame:
-    """Add ``answer`` and ``model_used``.
+          batch_size: int = fixed.EMBED_BATCH, answer: str = "answer", model_used: str = "model_used") -> DataFrame:
+    """Add the answer and the name of the model that gave it.
 
     The models are tried in order for each batch of distinct prompts; the first that returns wins.
-    Prompts that no model answers, and all prompts when there is no model, take ``fallback``.
+    Prompts that no model answers, and all prompts when there is no model, take ``fallback``. Replies
+    are written once, since a model asked again may reply otherwise; rows find theirs by a digest of the
+    prompt, and rows without a prompt take no part in the join.
     """
     if not models:
-        return df.withColumn("answer", fallback).withColumn("model_used", F.lit(fixed.NO_MODEL))
+        return df.withColumn(answer, fallback).withColumn(model_used, F.lit(fixed.NO_MODEL))
 
     def ask(texts: list[str]) -> tuple[list, str | None]:
         for name, model in models:
@@ -35,20 +38,24 @@ def score(df: DataFrame, prompt: str, models: Sequence[tuple[str, Model]], fallb
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            texts = frame[prompt].tolist()
+            texts = frame["_prompt"].tolist()
             replies, used = [], []
             for low in range(0, len(texts), batch_size):
                 part = texts[low:low + batch_size]
                 got, name = ask(part)
                 replies += got
                 used += [name] * len(part)
-            yield pd.DataFrame({prompt: texts, "_reply": replies, "_model": used})
-
-    distinct = df.select(prompt).where(F.col(prompt).isNotNull()).distinct()
-    answered = distinct.mapInPandas(run, f"`{prompt}` string, _reply string, _model string")
-    joined = df.join(answered, prompt, "left")
+            yield pd.DataFrame({"_ask": frame["_ask"], "_reply": replies, "_model": used})
+
+    keyed = df.withColumn("_ask", F.md5(prompt))
+    distinct = keyed.where(F.col("_ask").isNotNull()).groupBy("_ask").agg(F.first(prompt).alias("_prompt"))
+    use_checkpoints(df.sparkSession)
+    answered = distinct.mapInPandas(run, "_ask string, _reply string, _model string").checkpoint()
+    nothing = F.lit(None).cast("string")
+    joined = keyed.where(F.col("_ask").isNotNull()).join(answered, "_ask", "left").unionByName(
+        keyed.where(F.col("_ask").isNull()).withColumn("_reply", nothing).withColumn("_model", nothing))
     return (
-        joined.withColumn("answer", F.when(F.col("_model").isNotNull(), F.col("_reply")).otherwise(fallback))
-        .withColumn("model_used", F.coalesce("_model", F.lit(fixed.NO_MODEL)))
-        .drop("_reply", "_model")
+        joined.withColumn(answer, F.when(F.col("_model").isNotNull(), F.col("_reply")).otherwise(fallback))
+        .withColumn(model_used, F.coalesce("_model", F.lit(fixed.NO_MODEL)))
+        .drop("_ask", "_reply", "_model")
     )

@@ -15,15 +15,14 @@ def count_by(df: DataFrame, *keys: str, name: str = "row_count") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name)).orderBy(F.desc(name), *keys)
 
 
-def collect_by_class(df: DataFrame, label: str, name: str, order_by: Sequence[str], names_per_class: int = 100) -> DataFrame:
-    """Per class the number of rows (all of them) and its first names in order.
-
-    The list is a display column and as long as stated; the count is never cut.
-    """
+def collect_by_class(df: DataFrame, label: str, name: str, order_by: Sequence[str], names_per_class: int | None = None) -> DataFrame:
+    """Per class the number of rows and its names in order: all of them, or the stated number of first ones."""
     counts = df.groupBy(label).agg(F.count("*").alias("scheme_count"))
-    first = top_k(df.select(label, name, *[c for c in order_by if c != name]), [label], order_by, names_per_class)
-    lists = first.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", name))).alias("_e"))
-    named = lists.select(label, F.transform("_e", lambda e: e[name]).alias("schemes"))
+    named = df.select(label, name, *[c for c in order_by if c != name])
+    if names_per_class is not None:
+        named = top_k(named, [label], order_by, names_per_class).drop("rank")
+    lists = named.groupBy(label).agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(name).alias("_name")))).alias("_e"))
+    named = lists.select(label, F.transform("_e", lambda e: e["_name"]).alias("schemes"))
     return counts.join(named, label).orderBy(F.desc("scheme_count"), label)
 
 

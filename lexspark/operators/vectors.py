@@ -26,7 +26,8 @@ from lexspark.session import use_checkpoints
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
-PIVOTS = 128
+PIVOTS_MOST = 2048
+_FILTER_SOURCES = 1000
 _DIGITS = 9  # distances are ranked after rounding, so that summation order cannot swap equal ones
 _TILE = 4_000_000
 
@@ -78,20 +79,26 @@ def _best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k:
 
 
 def _k_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    return frame.sort_values(["query_id", "distance", "vector_id"]).groupby("query_id", sort=False).head(k)
+    return frame.sort_values(["query", "distance", "vector_id"]).groupby("query", sort=False).head(k)
 
 
-def _search(query_ids, queries, wanted, vectors, ids, sources, k: int) -> pd.DataFrame:
-    """Best k per query; a query with a wanted source sees only vectors of that source."""
+def _named(best: pd.DataFrame, query_ids: np.ndarray) -> pd.DataFrame:
+    """Ids in place of the queries' numbers, once per task."""
+    return pd.DataFrame({"query_id": query_ids[best["query"].to_numpy(dtype="int64")], "vector_id": best["vector_id"].to_numpy(),
+                         "distance": best["distance"].to_numpy()})
+
+
+def _search(queries, wanted, vectors, ids, sources, k: int) -> pd.DataFrame:
+    """Best k per query (by its number); a query with a wanted source sees only vectors of that source."""
     frames = []
     for source in pd.unique(wanted):
         asking = np.flatnonzero(pd.isna(wanted) if pd.isna(source) else wanted == source)
         offered = np.arange(len(ids)) if pd.isna(source) else np.flatnonzero(sources == source)
         if len(asking) and len(offered):
             q, v, d = _best_of_block(queries[asking], vectors[offered], ids[offered], k)
-            frames.append(pd.DataFrame({"query_id": query_ids[asking][q], "vector_id": v, "distance": d}))
+            frames.append(pd.DataFrame({"query": asking[q], "vector_id": v, "distance": d}))
     if not frames:
-        return pd.DataFrame({"query_id": query_ids[:0], "vector_id": ids[:0], "distance": np.zeros(0)})
+        return pd.DataFrame({"query": np.zeros(0, dtype="int64"), "vector_id": ids[:0], "distance": np.zeros(0)})
     return _k_best(pd.concat(frames), k)
 
 
@@ -107,18 +114,20 @@ def _scan(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType)
         for batch in batches:
             if not len(batch):
                 continue
-            found = _search(query_ids, matrix, wanted, _matrix(batch["vector"]), batch["vector_id"].to_numpy(),
+            found = _search(matrix, wanted, _matrix(batch["vector"]), batch["vector_id"].to_numpy(),
                             batch["source"].to_numpy(dtype=object), k)
             best = found if best is None else _k_best(pd.concat([best, found]), k)
         if best is not None:
-            yield best
+            yield _named(best, query_ids)
 
     return vectors.mapInPandas(run, schema)
 
 
-def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, pivots: int,
+def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, pivots: int | None,
            block_rows: int) -> DataFrame:
     """Neighbours through cells around pivots, for query tables of any size."""
+    if pivots is None:  # so that cells grow only with the root of the table
+        pivots = int(min(PIVOTS_MOST, max(16, vectors.count() ** 0.5)))
     # Pivots: a fixed number of vectors in hash order, spread over the table and the same every time.
     chosen = vectors.orderBy(F.xxhash64("vector_id"), "vector_id").limit(pivots).select("vector").toPandas()
     centres = np.unique(_matrix(chosen["vector"]), axis=0)
@@ -130,7 +139,8 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         cell = away.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": away[np.arange(len(cell)), cell]})
 
-    stored = vectors.withColumn("_home", home("vector")).select("*", "_home.cell", "_home.reach").drop("_home")
+    # Written once with its cells: read for the statistics and by both visits.
+    stored = vectors.withColumn("_home", home("vector")).select("*", "_home.cell", "_home.reach").drop("_home").checkpoint()
     asked = queries.withColumn("_home", home("vector")).select("*", "_home.cell").drop("_home")
     # One row per pivot.
     stats = stored.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("near"),
@@ -160,9 +170,9 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         def match(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
                 return pd.DataFrame({name: [] for name in schema.names})
-            return _search(q["query_id"].to_numpy(), _matrix(q["vector"]), q["wanted"].to_numpy(dtype=object),
-                           _matrix(v["vector"]), v["vector_id"].to_numpy(),
-                           v["source"].to_numpy(dtype=object), k)
+            best = _search(_matrix(q["vector"]), q["wanted"].to_numpy(dtype=object), _matrix(v["vector"]),
+                           v["vector_id"].to_numpy(), v["source"].to_numpy(dtype=object), k)
+            return _named(best, q["query_id"].to_numpy())
 
         keys = ["cell", "slice", "block"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
@@ -187,7 +197,7 @@ def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
             vector_id: str = "chunk_id", vector: str = "embedding", wanted: str | None = None,
-            source: str = "source_law", broadcast_bytes: int = BROADCAST_BYTES, pivots: int = PIVOTS,
+            source: str = "source_law", broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None,
             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest stored vectors of every query: query, vector, rank, distance, similarity.
 
@@ -207,7 +217,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
         T.StructField("distance", T.DoubleType()),
     ])
     asked = asked.persist()  # measured here and then read; the queries are not embedded twice
-    size = asked.agg(F.coalesce(F.sum(F.size("vector").cast("bigint")), F.lit(0))).first()[0] * 8
+    # What is broadcast: numbers, ids and wanted sources; and what each task hands on, k rows per query.
+    ids = F.length(F.col("query_id").cast("string")) + F.coalesce(F.length("wanted"), F.lit(0))
+    size = asked.agg(F.coalesce(F.sum(F.size("vector").cast("bigint") * 8 + ids + 32 * k), F.lit(0))).first()[0]
+    if wanted:  # few sources become a filter on the scan, which then skips the folders of all others
+        sources = [row[0] for row in asked.select("wanted").distinct().limit(_FILTER_SOURCES + 1).collect()]
+        if len(sources) <= _FILTER_SOURCES and None not in sources:
+            stored = stored.where(F.col("source").isin(sources))
     if size <= broadcast_bytes:
         found = _scan(asked, stored, k, schema)
         asked.unpersist()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 from lexspark.functions import fixed
 from lexspark.functions import text as tx
 from lexspark.operators.containment import contains_pairs
-from lexspark.operators.eligibility import eligible
-from lexspark.operators.embedding import embed, embedded
-from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup_section
+from lexspark.operators.eligibility import eligible, eligible_by_state
+from lexspark.operators.embedding import embed, embedded, failures
+from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup_section, section_map_sample
 from lexspark.operators.models import Model, score
 from lexspark.operators.vectors import filter_after_ranking, nearest
 from lexspark.operators.windows import top_k
@@ -24,8 +26,11 @@ LOG_COLUMNS = ["query_id", "original_query", "english_query", "detected_lang", "
 
 
 # --- retrieval ---------------------------------------------------------------------------------
-def embed_chunks(chunks: DataFrame, **options) -> DataFrame:
-    return embedded(embed(chunks, "chunk_text", **options))
+def embed_chunks(chunks: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the chunks, and (chunk_id, embed_error) of those that got none; embedded once for both."""
+    use_checkpoints(chunks.sparkSession)
+    tried = embed(chunks, "chunk_text", **options).checkpoint()
+    return embedded(tried), failures(tried)
 
 
 def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: str = "question",
@@ -35,10 +40,10 @@ def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: st
     Equal questions are embedded and searched once.
     """
     kept = [wanted] if wanted else []
-    # Without a wanted source the text itself is the key.
-    ask = F.to_json(F.struct(text, wanted)) if wanted else F.col(text)
+    # A digest is the key, so that ids of any question are small.
+    ask = F.md5(F.to_json(F.struct(text, wanted))) if wanted else F.md5(text)
     keyed = questions.select("question_id", text, *kept, ask.alias("_ask")).where(F.col(text).isNotNull())
-    asked = keyed.select(F.col(text).alias("_text"), *kept, "_ask").distinct()
+    asked = keyed.select(F.col(text).alias("_text"), *kept, "_ask").dropDuplicates(["_ask"])
     vectors = embedded(embed(asked, "_text", embedder))
     found = nearest(vectors, chunk_vectors, k, query_id="_ask", wanted=wanted, **options)
     described = found.join(chunk_vectors.select(*RESULT_COLUMNS), "chunk_id")
@@ -48,19 +53,19 @@ def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: st
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, k: int, text: str = "question") -> DataFrame:
     """First ``k`` chunks (by id) whose text or title contains the question as it stands."""
-    fields = chunks.select("chunk_id", F.explode(F.array("chunk_text", "title")).alias("_field")) \
+    fields = chunks.select("chunk_id", F.posexplode(F.array("chunk_text", "title")).alias("_part", "_field")) \
         .where(F.col("_field").isNotNull())
-    keyed = fields.select(F.struct("chunk_id", "_field").alias("_key"), "_field")
-    keyed = keyed.withColumn("_key", F.to_json("_key"))
+    keyed = fields.select(F.struct("chunk_id", "_part").alias("_key"), "_field")
     hits = contains_pairs(questions, text, keyed, "_key", "_field")
-    pairs = hits.select(text, F.get_json_object("_key", "$.chunk_id").alias("chunk_id")).distinct()
+    pairs = hits.select(text, "_key.chunk_id").distinct()
     first = top_k(pairs, [text], ["chunk_id"], k)
     described = first.join(chunks.select(*RESULT_COLUMNS), "chunk_id")
     return questions.select("question_id", text).join(described, text).select(
         "question_id", "rank", *RESULT_COLUMNS, F.lit(fixed.FALLBACK_SCORE).alias("similarity"))
 
 
-def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted: str | None = None) -> DataFrame:
+def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted: str | None = None,
+                         text_chars: int | None = None) -> DataFrame:
     """First ``k`` chunks (by id) holding the question's first long word, score 0.75."""
     source = F.col(wanted) if wanted else F.lit(None).cast("string")
     asked = questions.select("question_id", tx.first_long_word(F.col("question")).alias("keyword"),
@@ -80,7 +85,7 @@ def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted
     joined = asked.join(described, (F.col("keyword") == F.col("_k")) & F.col("_wanted").eqNullSafe(F.col("_w")))
     return joined.select(
         "question_id", "rank", "keyword", "chunk_id", tx.or_default(F.col("section_number"), "").alias("section_number"),
-        tx.or_default(F.col("title"), "").alias("title"), tx.cut(F.col("chunk_text"), 500).alias("chunk_text"),
+        tx.or_default(F.col("title"), "").alias("title"), tx.cut(F.col("chunk_text"), text_chars).alias("chunk_text"),
         tx.or_default(F.col("source_law"), "").alias("source_law"),
         tx.or_default(F.col("content_type"), "").alias("content_type"), F.lit(fixed.KEYWORD_SCORE).alias("similarity"))
 
@@ -150,7 +155,7 @@ def legal_answers(questions: DataFrame, chunk_vectors: DataFrame, sections: Data
     looked = lookup_section(questions.select("question_id", "question"), sections).join(cited, "question_id", "left")
     base = F.coalesce("_context", F.lit(""))
     direct = F.concat(F.lit("\n\n[Direct lookup] "), tx.fill(
-        law + " Section {number}: {text}", number=F.col("found_section"), text=tx.cut(F.col("found_text"), 500)))
+        law + " Section {number}: {text}", number=F.col("found_section"), text=F.col("found_text")))
     usable = F.col("found_section").isNotNull()
     if lookup_needs_context:
         usable = usable & (base != "")
@@ -222,20 +227,22 @@ def translate(df: DataFrame, source: str, target: str, language: str, model: Mod
         return df.withColumn(target, F.col(source))
     foreign = F.when(F.col("detected_lang") == language, F.col(source))
     asked = df.withColumn("_foreign", foreign)
-    scored = score(asked, "_foreign", [("translator", model)], F.col(source))
-    return scored.withColumnRenamed("answer", target).drop("model_used", "_foreign")
+    scored = score(asked, "_foreign", [("translator", model)], F.col(source), answer="_translated", model_used="_translator")
+    return scored.withColumn(target, F.col("_translated")).drop("_translated", "_translator", "_foreign")
 
 
 def classify(questions: DataFrame, ladder=fixed.AGENT_LADDER, default: str = fixed.AGENT_DEFAULT,
              script: str = fixed.DEVANAGARI, threshold: float = 0.5, to_english: Model | None = None) -> DataFrame:
     """Language flag, English text, intent, and the route taken.
 
-    A scheme question without profile goes the legal way but keeps its intent.
+    A scheme question without profile (no profile column, or all of them NULL) goes the legal way but keeps
+    its intent.
     """
     flagged = questions.withColumn("detected_lang", tx.script_flag(F.col("question"), script, threshold))
     labelled = translate(flagged, "question", "english_query", "hi", to_english).withColumn(
         "intent", tx.ladder(F.col("english_query"), ladder, default))
-    has_profile = F.col("state").isNotNull() if "state" in questions.columns else F.lit(True)
+    known = [F.col(c).isNotNull() for c in fixed.PROFILE_DEFAULTS if c in questions.columns]
+    has_profile = reduce(or_, known, F.lit(False))
     return labelled.withColumn(
         "agent_used",
         F.when((F.col("intent") == "scheme_eligibility") & has_profile, fixed.SCHEME_ROUTE)
@@ -243,19 +250,26 @@ def classify(questions: DataFrame, ladder=fixed.AGENT_LADDER, default: str = fix
         .otherwise(fixed.LEGAL_ROUTE))
 
 
+def with_profile(questions: DataFrame, defaults: dict) -> DataFrame:
+    """The four profile columns, with defaults where a column or a value is missing."""
+    return questions.withColumns({
+        c: F.coalesce(F.col(c), F.lit(v)) if c in questions.columns else F.lit(v) for c, v in defaults.items()})
+
+
 def route(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, schemes: DataFrame,
           mapping: DataFrame, models: Sequence[tuple[str, Model]] = (), to_hindi: Model | None = None,
           **classify_options) -> DataFrame:
     """Every question through its own path; one result row each.
 
-    ``questions``: question_id, question and, for known applicants, state, income, occupation, category.
+    ``questions``: question_id, question and, for known applicants, any of state, income, occupation,
+    category; what a profile lacks takes its default.
     """
     # Read by every path below; translated and classified once.
     use_checkpoints(questions.sparkSession)
     routed = classify(questions, **classify_options).checkpoint()
     asked = routed.withColumn("question", F.col("english_query"))
     legal = legal_answers(asked.where(F.col("agent_used") == fixed.LEGAL_ROUTE), chunk_vectors, sections, models=models)
-    asking = asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE)
+    asking = with_profile(asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE), fixed.PROFILE_DEFAULTS)
     # Equal profiles are matched once.
     person = ["state", "income", "occupation", "category"]
     who = F.to_json(F.struct(*person))
@@ -280,6 +294,52 @@ def route(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, s
     return in_hindi.withColumn("answer_hindi", F.when(F.col("detected_lang") == "hi", F.col("_hindi"))).drop("_hindi")
 
 
+def route_app(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFrame, schemes: DataFrame,
+              mapping: DataFrame, models: Sequence[tuple[str, Model]] = (), to_english: Model | None = None) -> DataFrame:
+    """The short form of routing: intent from the question as asked, one fixed profile, sample of the section map.
+
+    Scheme questions get the first schemes of the whole country, five of them as context; comparisons get five
+    rows of the section map as context.
+    """
+    use_checkpoints(questions.sparkSession)
+    flagged = questions.select("question_id", "question").withColumn("detected_lang", tx.script_flag(F.col("question")))
+    labelled = translate(flagged, "question", "english_query", "hi", to_english).withColumn(
+        "intent", tx.ladder(F.col("question"), fixed.APP_LADDER, fixed.APP_DEFAULT))
+    routed = labelled.withColumn(
+        "agent_used", F.when(F.col("intent") == "scheme_eligibility", fixed.SCHEME_ROUTE)
+        .when(F.col("intent") == "ipc_bns_comparison", fixed.COMPARE_ROUTE).otherwise(fixed.LEGAL_ROUTE)).checkpoint()
+    asked = routed.withColumn("question", F.col("english_query"))
+    legal = legal_answers(asked.where(F.col("agent_used") == fixed.LEGAL_ROUTE), chunk_vectors, sections, models=models)
+
+    # One profile, so one row of at most ten schemes; every scheme question reads it.
+    profile = questions.sparkSession.createDataFrame([(0, *fixed.APP_PROFILE.values())], "profile_id long, state string, income long, occupation string, category string")
+    found = eligible_by_state(profile, schemes).groupBy("profile_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "scheme_name", "ministry"))).alias("_e"))
+    line = F.transform(F.slice("_e", 1, fixed.APP_CONTEXT_SCHEMES), lambda e: F.concat_ws(" - ", e.scheme_name, e.ministry))
+    shown = profile.join(found, "profile_id", "left").select(
+        F.coalesce(F.size("_e"), F.lit(0)).cast("bigint").alias("total_found"),
+        F.transform("_e", lambda e: F.struct(e.scheme_name.alias("name"), e.ministry.alias("ministry"))).alias("eligible_schemes"),
+        F.coalesce(F.array_join(line, "\n"), F.lit("")).alias("_context"),
+        tx.fill(fixed.APP_SCHEME_PROMPT, **{c: F.col(c) for c in ("occupation", "income", "state")}).alias("_ask"), F.lit(1).alias("_one"))
+    scheme = asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE).withColumn("_one", F.lit(1)).join(shown, "_one")
+
+    lines = section_map_sample(mapping).agg(
+        F.array_sort(F.collect_list(F.struct("ipc_section", "bns_section", "ipc_title", "line"))).alias("_l")).select(
+        F.array_join(F.transform("_l", lambda e: e.line), "\n").alias("_context"), F.lit(1).alias("_one"))
+    compare = asked.where(F.col("agent_used") == fixed.COMPARE_ROUTE).withColumn("_one", F.lit(1)).join(lines, "_one").withColumn(
+        "_ask", tx.fill(fixed.APP_COMPARE_PROMPT, query=F.col("question")))
+
+    def answered(df: DataFrame) -> DataFrame:
+        prompted = df.withColumn("_prompt", tx.prompt(F.col("_ask"), F.col("_context")))
+        return score(prompted, "_prompt", models, tx.template_answer(F.col("_ask"), F.col("_context")))
+
+    results = (
+        legal.select("question_id", "answer", "sections_cited", "source_laws")
+        .unionByName(answered(scheme).select("question_id", "answer", "eligible_schemes", "total_found"), allowMissingColumns=True)
+        .unionByName(answered(compare).select("question_id", "answer", F.lit(True).alias("found_direct_match")), allowMissingColumns=True))
+    return routed.join(results, "question_id")
+
+
 def log_rows(routed: DataFrame, query_id=None, response_time_ms=None, timestamp=None) -> DataFrame:
     """The eight log columns; id, duration and time are made up on the spot unless given."""
     return routed.select(

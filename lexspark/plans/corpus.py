@@ -17,8 +17,11 @@ _PAGES_PER_GROUP = 256
 
 
 # --- raw documents -----------------------------------------------------------------------------
-def clean_documents(documents: DataFrame, max_chars: int | None = fixed.RAW_TEXT_CHARS) -> DataFrame:
-    """Squeeze whitespace, note the full length, keep texts longer than 100 characters, then cut."""
+def clean_documents(documents: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Squeeze whitespace, note the full length, keep texts longer than 100 characters.
+
+    ``max_chars`` cuts the stored text; by default it stays whole.
+    """
     cleaned = tx.once(documents, "filename", text=tx.squeeze(F.col("text")))
     return (
         cleaned.withColumn("char_count", F.length("text").cast("bigint"))
@@ -27,7 +30,7 @@ def clean_documents(documents: DataFrame, max_chars: int | None = fixed.RAW_TEXT
     )
 
 
-def join_pages(pages: DataFrame, max_chars: int | None = fixed.RAW_TEXT_CHARS) -> DataFrame:
+def join_pages(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(filename, page_no, text) to one cleaned row per file, as ``clean_documents`` would give it.
 
     Pages are squeezed first and joined in two steps, groups of pages and then files, so that a
@@ -48,12 +51,12 @@ def join_pages(pages: DataFrame, max_chars: int | None = fixed.RAW_TEXT_CHARS) -
 
 
 def ingest_documents(pages: DataFrame, listing: DataFrame | None = None,
-                     size: int = fixed.FILES_PER_BATCH) -> DataFrame:
+                     size: int = fixed.FILES_PER_BATCH, max_chars: int | None = None) -> DataFrame:
     """The raw text table: cleaned files with the number of the 50-file batch they came in."""
     names = (pages if listing is None else listing).select("filename").distinct()
     batches = batch_number(names, ["filename"], size)
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return join_pages(pages).join(batches, "filename").withColumn("extracted_at", stamp)
+    return join_pages(pages, max_chars).join(batches, "filename").withColumn("extracted_at", stamp)
 
 
 # --- sections ----------------------------------------------------------------------------------
@@ -76,8 +79,12 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     return split.where(F.length("paragraph") >= fixed.MIN_PARAGRAPH_CHARS)
 
 
-def extract_sections(pages: DataFrame, source_law: str) -> DataFrame:
-    """(doc_id, page_no, text) to numbered sections, at most one per paragraph."""
+def extract_sections(pages: DataFrame, source_law: str, text_chars: int | None = None,
+                     title_chars: int | None = None) -> DataFrame:
+    """(doc_id, page_no, text) to numbered sections, at most one per paragraph.
+
+    Keywords come from the whole text; the limits cut the stored columns only, by default nothing.
+    """
     para = F.col("paragraph")
     by_statute, by_number = fixed.STATUTORY_SECTION, fixed.SIMPLE_SECTION
     found = tx.once(
@@ -87,27 +94,27 @@ def extract_sections(pages: DataFrame, source_law: str) -> DataFrame:
     ).where(F.coalesce("_full_1", "_bare_1").isNotNull())
 
     is_full = F.col("_full_1").isNotNull()
-    rest = tx.cut(tx.strip(F.substring("paragraph", F.length("_bare_0") + 1, F.length("paragraph"))),
-                  fixed.SECTION_TEXT_CHARS)
-    body = F.when(is_full, tx.cut(tx.strip(F.col("_full_3")), fixed.SECTION_TEXT_CHARS)).otherwise(
+    rest = tx.strip(F.substring("paragraph", F.length("_bare_0") + 1, F.length("paragraph")))
+    body = F.when(is_full, tx.strip(F.col("_full_3"))).otherwise(
         F.when(F.length(rest) < fixed.MIN_BODY_CHARS, para).otherwise(rest))
     title = tx.strip(F.when(is_full, F.col("_full_2")).otherwise(F.col("_bare_2")))
     sections = found.select(
         "doc_id", "page_no", "paragraph_no",
         F.coalesce("_full_1", "_bare_1").alias("section_number"),
-        tx.cut(tx.single_spaces(title), fixed.TITLE_CHARS).alias("title"),
-        tx.cut(tx.single_spaces(body), fixed.SECTION_TEXT_CHARS).alias("full_text"),
+        tx.single_spaces(title).alias("title"),
+        tx.single_spaces(body).alias("full_text"),
         "chapter", F.lit(source_law).alias("source_law"),
     )
-    return sections.select(
+    named = sections.select(
         "*", tx.keywords(F.col("title"), F.col("full_text")).alias("keywords"),
         F.length("full_text").cast("bigint").alias("char_count"),
         F.col("page_no").cast("bigint").alias("page_number"),
     ).drop("page_no")
+    return named.withColumns({"title": tx.cut(F.col("title"), title_chars), "full_text": tx.cut(F.col("full_text"), text_chars)})
 
 
 # --- schemes and the section map ---------------------------------------------------------------
-def scheme_table(raw: DataFrame) -> DataFrame:
+def scheme_table(raw: DataFrame, text_chars: int | None = None) -> DataFrame:
     """Raw scheme texts to structured rows; a field that is not found is NULL."""
     text = F.col("text")
     return raw.where(F.col("char_count") > fixed.MIN_DOCUMENT_CHARS).select(
@@ -117,7 +124,7 @@ def scheme_table(raw: DataFrame) -> DataFrame:
         tx.extract(text, fixed.BENEFICIARY).alias("beneficiary_type"),
         tx.extract(text, fixed.STATE).alias("state"),
         tx.amount(text).alias("income_limit_inr"),
-        tx.cut(text, fixed.SCHEME_TEXT_CHARS).alias("full_text"),
+        tx.cut(text, text_chars).alias("full_text"),
         "char_count",
     )
 
@@ -138,10 +145,12 @@ def classify_schemes(schemes: DataFrame, classes: Sequence[tuple[str, Sequence[s
     return schemes.withColumn("category", label)
 
 
-def extract_info(schemes: DataFrame) -> DataFrame:
-    """Beneficiary, income limit and the first two required documents as one struct."""
+def extract_info(schemes: DataFrame, documents_per_scheme: int | None = None) -> DataFrame:
+    """Beneficiary, income limit and required documents (all, or the first few) as one struct."""
     text = F.col("full_text")
-    documents = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.DOCUMENT_NAMES), F.lit(1))), 1, 2)
+    documents = F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.DOCUMENT_NAMES), F.lit(1)))
+    if documents_per_scheme is not None:
+        documents = F.slice(documents, 1, documents_per_scheme)
     return schemes.withColumn("extracted_info", F.struct(
         tx.extract(text, fixed.BENEFICIARY).alias("beneficiary"),
         tx.amount(text).alias("income_limit"),
@@ -150,23 +159,23 @@ def extract_info(schemes: DataFrame) -> DataFrame:
 
 
 # --- chunks ------------------------------------------------------------------------------------
-def section_chunks(sections: DataFrame, prefix: str) -> DataFrame:
+def section_chunks(sections: DataFrame, prefix: str, text_chars: int | None = None) -> DataFrame:
     """Sections in the chunk shape, one per chunk id: the longest text, then the lowest page."""
     shaped = sections.select(
         tx.prefixed_id(prefix, F.col("section_number")).alias("chunk_id"),
         "section_number", "title",
-        F.concat_ws(" ", "title", tx.cut(F.col("full_text"), fixed.SECTION_CHUNK_CHARS)).alias("chunk_text"),
+        F.concat_ws(" ", "title", tx.cut(F.col("full_text"), text_chars)).alias("chunk_text"),
         "source_law", "chapter", F.lit("legal_section").alias("content_type"),
         (-F.length("full_text")).alias("_shortness"), F.col("page_number").alias("_page"),
     )
     return first_row(shaped, "chunk_id", ["_shortness", "_page", "title", "chunk_text"]).select(*CHUNK_COLUMNS)
 
 
-def scheme_chunks(schemes: DataFrame, source_law: str = "schemes") -> DataFrame:
+def scheme_chunks(schemes: DataFrame, source_law: str = "schemes", text_chars: int | None = None) -> DataFrame:
     """Named schemes in the chunk shape, numbered 1..n in order of their file."""
     named = schemes.where(F.col("scheme_name").isNotNull()).select(
         "source_file", "scheme_name", "ministry", "beneficiary_type", "state",
-        tx.cut(F.col("full_text"), fixed.SCHEME_CHUNK_CHARS).alias("full_text"))
+        tx.cut(F.col("full_text"), text_chars).alias("full_text"))
     numbered = global_row_number(named, ["source_file", "scheme_name"], name="_number")
     return numbered.select(
         tx.prefixed_id("scheme_", F.col("_number")).alias("chunk_id"),

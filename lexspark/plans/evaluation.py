@@ -55,8 +55,11 @@ def keyword_score(cases: DataFrame) -> DataFrame:
         "correct", F.col("keywords_matched") >= F.greatest(F.lit(1), F.floor(F.col("total_keywords") / 2)))
 
 
-def result_rows(scored: DataFrame) -> DataFrame:
-    """The stored evaluation row; a failed case counts as wrong, with time 0 and marked texts."""
+def result_rows(scored: DataFrame, text_chars: int | None = None, error_chars: int | None = None) -> DataFrame:
+    """The stored evaluation row; a failed case counts as wrong, with time 0 and marked texts.
+
+    The limits cut stored texts and messages; by default they stay whole.
+    """
     failed = F.col("failed")
 
     def unless_failed(value: Column, instead) -> Column:
@@ -64,11 +67,11 @@ def result_rows(scored: DataFrame) -> DataFrame:
 
     return scored.select(
         "test_id",
-        tx.cut(F.col("question"), fixed.RESULT_CHARS).alias("question"),
+        tx.cut(F.col("question"), text_chars).alias("question"),
         "language", "subject_domain", "topic", "level", "correct_option",
-        tx.cut(F.col("correct_text"), fixed.RESULT_CHARS).alias("correct_text"),
-        F.when(failed, F.concat(F.lit("ERROR: "), tx.cut(F.coalesce("error", F.lit("")), 100)))
-        .otherwise(tx.cut(F.col("actual_answer"), fixed.RESULT_CHARS)).alias("actual_answer"),
+        tx.cut(F.col("correct_text"), text_chars).alias("correct_text"),
+        F.when(failed, F.concat(F.lit("ERROR: "), tx.cut(F.coalesce("error", F.lit("")), error_chars)))
+        .otherwise(tx.cut(F.col("actual_answer"), text_chars)).alias("actual_answer"),
         unless_failed(F.col("keywords_matched"), 0).cast("bigint").alias("keywords_matched"),
         unless_failed(F.col("total_keywords"), 0).cast("bigint").alias("total_keywords"),
         unless_failed(F.col("correct"), False).alias("correct"),
@@ -78,6 +81,21 @@ def result_rows(scored: DataFrame) -> DataFrame:
     )
 
 
+def answered_cases(cases: DataFrame, routed: DataFrame, key: str = "item_id") -> DataFrame:
+    """Prepared cases with what routing made of their plain questions; a case without an answer failed.
+
+    ``routed`` has question_id (the case's key), answer, intent, agent_used, and response_time_ms if measured.
+    """
+    time = F.col("response_time_ms") if "response_time_ms" in routed.columns else F.lit(0)
+    found = routed.select(F.col("question_id").alias(key), F.col("answer").alias("actual_answer"), "intent", "agent_used",
+                          time.cast("double").alias("response_time_ms"))
+    joined = cases.drop("question").join(found, key, "left")
+    return joined.select(
+        F.col(key).alias("test_id"), F.col("simple_question").alias("question"), "language", "subject_domain", "topic", "level",
+        F.col("correct_answer").alias("correct_option"), "correct_text", "actual_answer", "response_time_ms",
+        F.col("actual_answer").isNull().alias("failed"), F.lit("no answer").alias("error"), "intent", "agent_used")
+
+
 def _share(hits: Column, total: Column) -> Column:
     return hits / F.greatest(total, F.lit(1))
 

@@ -14,6 +14,18 @@ CHECKS: dict[str, str] = {}  # may use steps; ``complete`` spells them out
 _STEPS: dict[str, str] = {f"v_{name}": check_sql(name) for name in VIEWS}
 
 
+def quoted(text: str) -> str:
+    """A fixed value as an SQL string."""
+    return " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n"))
+
+
+def filled(template: str, **values: str) -> str:
+    """SQL for a fixed wording with expressions in its ``{name}`` places; NULL counts as empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "(" + " || ".join(
+        f"coalesce(({values[part]})::varchar, '')" if k % 2 else quoted(part) for k, part in enumerate(parts) if part) + ")"
+
+
 def step(name: str, sql: str) -> None:
     """A named intermediate result for checking SQL."""
     _STEPS[name] = sql

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
 from lexspark.operators.windows import nearest_rank
-from lexspark.plans import evaluation
+from lexspark.plans import answers, evaluation
 from lexspark.registry import inputs
 from lexspark.registry.base import query, step
+from lexspark.registry.retrieval import _legal_steps
+from lexspark.registry.steps import neighbours, vectors
 from lexspark.registry.views import view
 
 _DOMAINS = ", ".join(f"'{d}'" for d in fixed.EVALUATION_DOMAINS)
@@ -90,9 +92,42 @@ def evl_metrics(spark, sf):
     return _rounded(evaluation.full_metrics(inputs.eval_results(spark, sf), "fr"))
 
 
-@query("agg_latency_percentiles")
+@query("agg_latency_percentiles", """SELECT language, count(*) AS total, true AS p50_within_bound, true AS p95_within_bound
+FROM c_eval_results GROUP BY language""")
 def agg_latency_percentiles(spark, sf):
-    return evaluation.latency_percentiles(inputs.eval_results(spark, sf), ["language"])
+    """Approximate percentiles, each between the exact values one part in a hundred to both sides."""
+    results = inputs.eval_results(spark, sf)
+    checked = evaluation.latency_percentiles(results, ["language"])
+    for share in (0.5, 0.95):
+        name = f"p{round(100 * share)}"
+        for side, at in (("low", share - 0.01), ("high", min(share + 0.01, 0.999))):
+            exact = nearest_rank(results, "response_time_ms", "test_id", ["language"], at, f"{name}_{side}")
+            checked = checked.join(exact, "language")
+        checked = checked.withColumn(f"{name}_within_bound", F.col(f"{name}_time_ms").between(F.col(f"{name}_low"), F.col(f"{name}_high")))
+    return checked.select("language", "total", "p50_within_bound", "p95_within_bound")
+
+
+step("c_asked_cases", "SELECT item_id AS question_id, simple_question AS question FROM c_cases")
+vectors("c_case_vec", "c_asked_cases", "question_id", "question")
+neighbours("c_case_near", "c_case_vec", "c_chunk_vec", 5)
+step("c_case_results", "SELECT n.query_id AS question_id, n.rank, c.*, n.distance, n.similarity FROM c_case_near n JOIN c_chunks c USING (chunk_id)")
+_legal_steps("c_case_legal", "c_case_results", "c_asked_cases")
+
+
+@query("evl_end_to_end", r"""SELECT c.item_id AS test_id, c.language, c.correct_answer AS correct_option, l.answer AS actual_answer,
+  len(list_filter(words, lambda w: contains(lower(l.answer), w))) AS keywords_matched, len(words) AS total_keywords,
+  len(list_filter(words, lambda w: contains(lower(l.answer), w))) >= greatest(1, len(words) // 2) AS correct, 'legal_question' AS intent, 'BNSAgent' AS agent_used
+FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(correct_text, '\s+', ' ', 'g')), ' '),
+    lambda w: length(w) > 4)[1:5], lambda w: lower(w)) AS words FROM c_cases) c JOIN c_case_legal l ON l.question_id = c.item_id""".replace("\\\\s", "\\s"))
+def evl_end_to_end(spark, sf):
+    """Cases to routed answers to scored rows."""
+    cases = evaluation.prepare_cases(view(spark, sf, "mcq_questions"))
+    questions = cases.select(F.col("item_id").alias("question_id"), F.col("simple_question").alias("question"))
+    routed = answers.route(questions, inputs.chunk_vectors(spark, sf), view(spark, sf, "bns_sections"), inputs.schemes(spark, sf),
+                           inputs.mapping(spark, sf))
+    rows = evaluation.result_rows(evaluation.keyword_score(evaluation.answered_cases(cases, routed)))
+    return rows.select("test_id", "language", "correct_option", "actual_answer", "keywords_matched", "total_keywords", "correct",
+                       "intent", "agent_used")
 
 
 @query("srt_latest_results", """SELECT test_id, language, topic, level, correct, keywords_matched, total_keywords, trunc(response_time_ms)::int AS time_ms

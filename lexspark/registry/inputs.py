@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.plans import answers, corpus, evaluation
 from lexspark.registry.views import view
-from lexspark.session import scratch_path
+from lexspark.session import remove_at_exit, scratch_path
 
 _PATHS: dict[tuple[str, str, str], str] = {}
 
@@ -42,6 +42,7 @@ def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     if key not in _PATHS:
         path = scratch_path(spark, name)
         build().write.mode("overwrite").parquet(path)
+        remove_at_exit(spark, path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])
 
@@ -55,7 +56,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "chunk-vectors", lambda: answers.embed_chunks(chunks(spark, sf)))
+    return _stored(spark, sf, "chunk-vectors", lambda: answers.embed_chunks(chunks(spark, sf))[0])
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
@@ -10,8 +11,8 @@ from lexspark.operators import lookups, reports, windows
 from lexspark.operators.changes import new_files, snapshot_diff
 from lexspark.plans import corpus, prompts
 from lexspark.registry import inputs
-from lexspark.registry.base import query
-from lexspark.registry.steps import phrases, squeezed
+from lexspark.registry.base import filled, query, quoted
+from lexspark.registry.steps import amount, found, phrases, squeezed
 from lexspark.registry.views import view
 from lexspark.sources import tables
 
@@ -93,10 +94,10 @@ def flt_like_contains(spark, sf):
 
 
 # --- lookups -----------------------------------------------------------------------------------
-@query("lkp_section", r"""SELECT q.question_id, nullif(regexp_extract(question, '(?i)section\s+(\d+)', 1), '') AS asked_section,
+@query("lkp_section", f"""SELECT q.question_id, {found('question', fixed.SECTION_REFERENCE)} AS asked_section,
   s.title AS found_title, s.full_text AS found_text, s.source_law AS found_law
 FROM v_questions q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY source_law, title, full_text) AS rn
-  FROM v_bns_sections) s ON s.rn = 1 AND s.section_number = nullif(regexp_extract(question, '(?i)section\s+(\d+)', 1), '')""")
+  FROM v_bns_sections) s ON s.rn = 1 AND s.section_number = {found('question', fixed.SECTION_REFERENCE)}""")
 def lkp_section(spark, sf):
     found = lookups.lookup_section(view(spark, sf, "questions"), view(spark, sf, "bns_sections"))
     return found.select("question_id", "asked_section", "found_title", "found_text", "found_law")
@@ -147,7 +148,7 @@ _CLASSES = "CASE " + " ".join(
 
 @query("agg_collect_by_class", f"""SELECT category, max(total) AS scheme_count, string_agg(scheme_name, '|' ORDER BY scheme_name, source_file) AS schemes
 FROM (SELECT *, count(*) OVER (PARTITION BY category) AS total, row_number() OVER (PARTITION BY category ORDER BY scheme_name, source_file) AS rn
-  FROM (SELECT *, {_CLASSES} AS category FROM c_schemes WHERE scheme_name IS NOT NULL)) WHERE rn <= 100 GROUP BY category""")
+  FROM (SELECT *, {_CLASSES} AS category FROM c_schemes WHERE scheme_name IS NOT NULL)) GROUP BY category""")
 def agg_collect_by_class(spark, sf):
     classed = corpus.classify_schemes(inputs.schemes(spark, sf).where(F.col("scheme_name").isNotNull()))
     collected = reports.collect_by_class(classed, "category", "scheme_name", ["scheme_name", "source_file"])
@@ -228,11 +229,11 @@ def fn_parse_amount(spark, sf):
         F.col("filename").alias("source_file"), tx.amount(F.col("text")).alias("income_limit_inr"))
 
 
-@query("fn_concat_chunk_text", "SELECT chunk_id, title || ' ' || left(full_text, 500) AS chunk_text FROM c_statute_rows WHERE chunk_id LIKE 'ipc%'")
+@query("fn_concat_chunk_text", "SELECT chunk_id, title || ' ' || full_text AS chunk_text FROM c_statute_rows WHERE chunk_id LIKE 'ipc%'")
 def fn_concat_chunk_text(spark, sf):
     return inputs.sections(spark, sf).select(
         tx.prefixed_id("ipc_", F.col("section_number")).alias("chunk_id"),
-        F.concat_ws(" ", "title", tx.cut(F.col("full_text"), 500)).alias("chunk_text"))
+        F.concat_ws(" ", "title", "full_text").alias("chunk_text"))
 
 
 @query("fn_prefixed_id", "SELECT 'ipc_' || ipc_section AS old_id, 'bns_' || bns_section AS new_id FROM v_section_pairs")
@@ -255,7 +256,7 @@ def fn_similarity(spark, sf):
     return tables.read_table(spark, sf, "events").select("event_id", tx.similarity(F.col("value")).alias("similarity"))
 
 
-@query("fn_extract_section_ref", r"SELECT question_id, nullif(regexp_extract(question, '(?i)section\s+(\d+)', 1), '') AS section_ref FROM v_questions")
+@query("fn_extract_section_ref", f"SELECT question_id, {found('question', fixed.SECTION_REFERENCE)} AS section_ref FROM v_questions")
 def fn_extract_section_ref(spark, sf):
     return view(spark, sf, "questions").select(
         "question_id", tx.section_reference(F.col("question")).alias("section_ref"))
@@ -300,15 +301,20 @@ def fn_option_lookup(spark, sf):
         "item_id", tx.option_text(tx.option_letter(answer), answer, options).alias("correct_text"))
 
 
-@query("fn_uuid_now")
+@query("fn_uuid_now", """SELECT question_id, 36 AS id_chars, 1 AS rows_with_id, 26 AS stamp_chars, true AS stamps_agree FROM v_questions""")
 def fn_uuid_now(spark, sf):
-    return view(spark, sf, "questions").select(
+    """What holds for made-up ids and times: length, one row for each id, one time for all rows, not NULL."""
+    made = view(spark, sf, "questions").select(
         "question_id", F.uuid().alias("query_id"), F.current_timestamp().alias("asked_at"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("extracted_at"))
+    return made.select(
+        "question_id", F.length("query_id").alias("id_chars"), F.count("*").over(Window.partitionBy("query_id")).alias("rows_with_id"),
+        F.length("extracted_at").alias("stamp_chars"),
+        (F.date_format("asked_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") == F.col("extracted_at")).alias("stamps_agree"))
 
 
 # --- text operators ----------------------------------------------------------------------------
-@query("txt_ingest_documents", f"""SELECT filename, left(text, 50000) AS text, length(text) AS char_count, batch_num
+@query("txt_ingest_documents", f"""SELECT filename, text, length(text) AS char_count, batch_num
 FROM (SELECT *, (row_number() OVER (ORDER BY filename) - 1) // 50 + 1 AS batch_num FROM (
   SELECT filename, string_agg(t, ' ' ORDER BY page_no) FILTER (WHERE t <> '') AS text
   FROM (SELECT filename, page_no, {squeezed('text')} AS t FROM v_doc_pages) GROUP BY filename))
@@ -322,7 +328,7 @@ def txt_split_paragraphs(spark, sf):
     return corpus.paragraphs(view(spark, sf, "statute_pages")).select("doc_id", "page_no", "paragraph_no", "paragraph")
 
 
-@query("txt_chapter_heading", r"""SELECT doc_id, page_no, 'CHAPTER ' || nullif(regexp_extract(text, '(?i)CHAPTER\s+([IVX]+[A-Z]?)', 1), '') AS chapter
+@query("txt_chapter_heading", f"""SELECT doc_id, page_no, 'CHAPTER ' || {found('text', fixed.CHAPTER)} AS chapter
 FROM v_statute_pages""")
 def txt_chapter_heading(spark, sf):
     return view(spark, sf, "statute_pages").select("doc_id", "page_no", tx.chapter_heading(F.col("text")).alias("chapter"))
@@ -333,8 +339,8 @@ def txt_extract_sections(spark, sf):
     return inputs.sections(spark, sf)
 
 
-@query("txt_keywords", f"""SELECT page_number, {phrases("title || ' ' || left(full_text, 500)")} AS keywords FROM v_bns_sections
-UNION ALL SELECT doc_id, {phrases("source || ' ' || left(text, 500)")} FROM documents""")
+@query("txt_keywords", f"""SELECT page_number, {phrases("title || ' ' || full_text")} AS keywords FROM v_bns_sections
+UNION ALL SELECT doc_id, {phrases("source || ' ' || text")} FROM documents""")
 def txt_keywords(spark, sf):
     sections = view(spark, sf, "bns_sections").select(
         "page_number", tx.keywords(F.col("title"), F.col("full_text")).alias("keywords"))
@@ -386,10 +392,8 @@ def txt_classify_beneficiary(spark, sf):
     return corpus.classify_schemes(inputs.schemes(spark, sf)).select("source_file", "beneficiary_type", "category")
 
 
-@query("txt_extract_info", r"""SELECT source_file,
-  nullif(regexp_extract(full_text, '(farmer|student|women|youth|rural|urban|SC|ST|OBC|entrepreneur)', 1), '') AS beneficiary,
-  try_cast(replace(regexp_extract(full_text, '(?:Rs\.?|₹)\s*([\d,]+)', 1), ',', '') AS bigint) AS income_limit,
-  array_to_string(regexp_extract_all(full_text, '(identity card|bank passbook|income certificate|caste certificate|ration card)', 1)[1:2], '|') AS documents
+@query("txt_extract_info", f"""SELECT source_file, {found('full_text', fixed.BENEFICIARY)} AS beneficiary, {amount('full_text')} AS income_limit,
+  array_to_string(regexp_extract_all(full_text, '{fixed.DOCUMENT_NAMES}', 1), '|') AS documents
 FROM c_schemes""")
 def txt_extract_info(spark, sf):
     info = corpus.extract_info(inputs.schemes(spark, sf))
@@ -397,15 +401,13 @@ def txt_extract_info(spark, sf):
                        F.array_join("extracted_info.documents", "|").alias("documents"))
 
 
-@query("txt_prompt_assembly", f"""SELECT m.ipc_section,
-  'Explain in 2 sentences how this law changed from IPC to BNS and what it means for citizens: IPC Section ' || ipc_section || ' (' || ipc_title
-  || ') changed to BNS Section ' || bns_section || '. Change type: ' || change_type || '. Details: ' || change_detail AS explain_prompt,
-  'Compare IPC Section ' || ipc_section || ' (' || ipc_title || ') with BNS Section ' || bns_section || ' (' || bns_title || '). Change type: '
-  || change_type || '. Details: ' || change_detail || '. Explain in 3 bullet points what changed and how it affects citizens.' AS compare_prompt,
-  'Summarize this Indian criminal law section in 2 simple sentences for a common citizen: Section ' || ipc_section || ' - ' || ipc_title || ': '
-  || left(change_detail, 500) AS summary_prompt,
-  '{fixed.ASSISTANT_ROLE}' || chr(10) || chr(10) || 'संदर्भ/Context:' || chr(10) || left(change_detail, 500) || chr(10) || chr(10)
-  || 'प्रश्न/Question: ' || ipc_title || chr(10) || chr(10) || 'उत्तर/Answer:' AS question_prompt
+_MAP = {"old": "ipc_section", "old_title": "ipc_title", "new": "bns_section", "new_title": "bns_title", "change": "change_type", "detail": "change_detail"}
+_EXPLAIN = filled(fixed.EXPLAIN_CHANGE_PROMPT, **_MAP)
+
+
+@query("txt_prompt_assembly", f"""SELECT m.ipc_section, {_EXPLAIN} AS explain_prompt, {filled(fixed.COMPARE_PROMPT, **_MAP)} AS compare_prompt,
+  {filled(fixed.SUMMARY_PROMPT, number='ipc_section', title='ipc_title', text='change_detail')} AS summary_prompt,
+  {quoted(fixed.ASSISTANT_ROLE + fixed.PROMPT_CONTEXT)} || change_detail || {quoted(fixed.PROMPT_QUESTION)} || ipc_title || {quoted(fixed.PROMPT_ANSWER)} AS question_prompt
 FROM c_mapping m""")
 def txt_prompt_assembly(spark, sf):
     old, title, detail = F.col("ipc_section"), F.col("ipc_title"), F.col("change_detail")
@@ -415,23 +417,20 @@ def txt_prompt_assembly(spark, sf):
                 change=F.col("change_type"), detail=detail).alias("explain_prompt"),
         tx.fill(fixed.COMPARE_PROMPT, old=old, old_title=title, new=F.col("bns_section"), new_title=F.col("bns_title"),
                 change=F.col("change_type"), detail=detail).alias("compare_prompt"),
-        tx.fill(fixed.SUMMARY_PROMPT, number=old, title=title, text=tx.cut(detail, 500)).alias("summary_prompt"),
+        tx.fill(fixed.SUMMARY_PROMPT, number=old, title=title, text=detail).alias("summary_prompt"),
         tx.prompt(title, detail).alias("question_prompt"))
 
 
-@query("txt_scheme_prompts", """SELECT source_file, 'Classify this government scheme beneficiary into ONE category: Farmer, Student, Women, Youth, Senior Citizen, or General. Scheme: '
-  || coalesce(scheme_name, '') || ' Description: ' || left(full_text, 300) AS classify_prompt,
-  'Extract from this scheme description: beneficiary type, income limit, and top 2 required documents. Scheme: '
-  || coalesce(scheme_name, '') || ' ' || left(full_text, 400) AS extract_prompt FROM c_schemes""")
+@query("txt_scheme_prompts", f"""SELECT source_file, {filled(fixed.CLASSIFY_PROMPT, name='scheme_name', text='full_text')} AS classify_prompt,
+  {filled(fixed.EXTRACT_PROMPT, name='scheme_name', text='full_text')} AS extract_prompt FROM c_schemes""")
 def txt_scheme_prompts(spark, sf):
     classified = prompts.classify_schemes(inputs.schemes(spark, sf)).withColumnRenamed("prompt", "classify_prompt")
     both = prompts.extract_from_schemes(classified).withColumnRenamed("prompt", "extract_prompt")
     return both.select("source_file", "classify_prompt", "extract_prompt")
 
 
-@query("txt_section_prompts", """SELECT page_number, paragraph_no, doc_id,
-  'Summarize this Indian criminal law section in 2 simple sentences for a common citizen: Section ' || section_number || ' - ' || title || ': '
-  || left(full_text, 500) AS prompt FROM c_sections""")
+@query("txt_section_prompts", f"""SELECT page_number, paragraph_no, doc_id,
+  {filled(fixed.SUMMARY_PROMPT, number='section_number', title='title', text='full_text')} AS prompt FROM c_sections""")
 def txt_section_prompts(spark, sf):
     return prompts.summarize_sections(inputs.sections(spark, sf)).select("page_number", "paragraph_no", "doc_id", "prompt")
 
@@ -448,13 +447,40 @@ def txt_answer_cleanup(spark, sf):
     return replies.select("question_id", tx.clean_answer(F.col("reply"), F.col("question")).alias("answer"))
 
 
-@query("txt_template_answer", r"""SELECT page_number, CASE WHEN section_number % 2 = 0 THEN
-  'Based on the legal provisions, particularly Section ' || regexp_extract(full_text, 'Section\s+(\d+)', 1) || ', ' || lower(title)
-  || ' relates to the applicable law. Please refer to the specific section for detailed information.'
-  ELSE 'This query relates to Indian criminal law. Please refer to the relevant BNS/BNSS/BSA sections for specific legal provisions.' END AS answer
+@query("txt_template_answer", f"""SELECT page_number, CASE WHEN section_number % 2 = 0 THEN
+  {filled(fixed.TEMPLATE_ANSWER, section=found('full_text', fixed.CITED_SECTION), question='lower(title)')} ELSE {quoted(fixed.TEMPLATE_ANSWER_PLAIN)} END AS answer
 FROM (SELECT page_number, section_number::bigint AS section_number, title, full_text FROM v_bns_sections)""")
 def txt_template_answer(spark, sf):
     even = F.col("section_number").cast("bigint") % 2 == 0
     context = F.when(even, F.col("full_text")).otherwise(F.lit(""))
     return view(spark, sf, "bns_sections").select(
         "page_number", tx.template_answer(F.col("title"), context).alias("answer"))
+
+
+def _first_words(texts):
+    return [" ".join(t.split()[-3:]) for t in texts]
+
+
+def _one_word(texts):
+    return [" Student " if "student" in t else "Women" if "women" in t else "" for t in texts]
+
+
+@query("txt_model_replies", """SELECT page_number, paragraph_no, doc_id, array_to_string(list_slice(words, -3, -1), ' ') AS reply, 'mine' AS model_used
+FROM (SELECT *, list_filter(regexp_split_to_array(full_text, '\\s+'), lambda w: w <> '') AS words FROM c_sections)""")
+def txt_model_replies(spark, sf):
+    scored = prompts.replies(prompts.summarize_sections(inputs.sections(spark, sf)), [("mine", _first_words)])
+    return scored.select("page_number", "paragraph_no", "doc_id", "reply", "model_used")
+
+
+@query("txt_explain_changes", f"SELECT ipc_section, count(*) AS n, max(length({_EXPLAIN})) AS longest FROM c_mapping GROUP BY ipc_section")
+def txt_explain_changes(spark, sf):
+    scored = prompts.replies(prompts.explain_changes(inputs.mapping(spark, sf)), [("mine", lambda texts: [str(len(t)) for t in texts])])
+    return scored.groupBy("ipc_section").agg(F.count("*").alias("n"), F.max(F.col("reply").cast("int")).alias("longest"))
+
+
+@query("agg_model_classes", """SELECT category, count(*) AS scheme_count, string_agg(scheme_name, '|' ORDER BY scheme_name, source_file) AS schemes
+FROM (SELECT *, CASE WHEN contains(full_text, 'student') THEN 'Student' WHEN contains(full_text, 'women') THEN 'Women' ELSE 'General' END AS category
+  FROM c_schemes WHERE scheme_name IS NOT NULL) GROUP BY category""")
+def agg_model_classes(spark, sf):
+    counted = prompts.model_class_counts(inputs.schemes(spark, sf), [("mine", _one_word)])
+    return counted.withColumn("schemes", F.array_join("schemes", "|"))

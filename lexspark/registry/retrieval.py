@@ -8,14 +8,14 @@ from lexspark.functions import fixed
 from lexspark.functions import text as tx
 from lexspark.operators import reports
 from lexspark.operators.eligibility import eligible, eligible_by_state
-from lexspark.operators.embedding import embed, embed_incremental, embedded, text_similarity
+from lexspark.operators.embedding import embed, embed_incremental, embedded, hashed_counts, text_similarity
 from lexspark.operators.vectors import filter_after_ranking, nearest
 from lexspark.operators.windows import top_k
 from lexspark.plans import answers
 from lexspark.registry import inputs
-from lexspark.registry.base import query, step
+from lexspark.registry.base import filled, query, quoted, step
 from lexspark.registry.relational import _ladder_sql
-from lexspark.registry.steps import neighbours, vectors
+from lexspark.registry.steps import found, neighbours, vectors
 from lexspark.registry.views import view
 
 
@@ -36,6 +36,20 @@ def vec_knn_filtered(spark, sf):
     return _stored_neighbours(spark, sf, wanted="wanted").drop("distance")
 
 
+@query("vec_knn_cells", "SELECT vec_id, chunk_id, rank, round(distance, 6) AS distance, similarity FROM c_knn")
+def vec_knn_cells(spark, sf):
+    """The way for query tables that are too large to be broadcast."""
+    stored = view(spark, sf, "chunk_vectors")
+    return nearest(stored, stored, 5, query_id="vec_id", broadcast_bytes=0).withColumn("distance", F.round("distance", 6))
+
+
+@query("vec_knn_filtered_cells", """SELECT vec_id, chunk_id, rank, round(1 / (1 + distance), 4) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, chunk_id) AS rank FROM c_pairs WHERE source_law = wanted) WHERE rank <= 5""")
+def vec_knn_filtered_cells(spark, sf):
+    stored = view(spark, sf, "chunk_vectors")
+    return nearest(stored, stored, 5, query_id="vec_id", wanted="wanted", broadcast_bytes=0).drop("distance")
+
+
 @query("win_topk_per_query", """SELECT user_id, rank, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 5""")
 def win_topk_per_query(spark, sf):
@@ -94,6 +108,34 @@ def vec_embed_incremental(spark, sf):
     return whole.select("chunk_id", filled, F.round(squared, 6).alias("squared_length"), "origin")
 
 
+def _failing_on_edits(texts):
+    if any(text.startswith("edited ") for text in texts):
+        raise ValueError("no edited texts")
+    return hashed_counts()(texts)
+
+
+@query("vec_embed_failures", """SELECT n.chunk_id, CASE WHEN n.chunk_text LIKE 'edited %' THEN 'failed' ELSE 'ok' END AS embed_status,
+  CASE WHEN n.chunk_text LIKE 'edited %' THEN 'ValueError: no edited texts' END AS embed_error,
+  CASE WHEN o.chunk_text = n.chunk_text THEN 'kept' ELSE 'embedded' END AS origin
+FROM v_chunks_v2 n LEFT JOIN v_chunks_v1 o ON o.chunk_id = n.chunk_id""")
+def vec_embed_failures(spark, sf):
+    """A pass in which some batches fail: no chunk is lost, and each failure has its reason."""
+    old, new = view(spark, sf, "chunks_v1"), view(spark, sf, "chunks_v2")
+    whole = embed_incremental(embedded(embed(old)), old, new, _failing_on_edits, batch_size=1, tries=1)
+    return whole.select("chunk_id", "embed_status", "embed_error", "origin")
+
+
+@query("vec_embed_retried", """SELECT n.chunk_id, e.filled, 'ok' AS embed_status,
+  CASE WHEN n.chunk_text LIKE 'edited %' THEN 'embedded' ELSE 'kept' END AS origin
+FROM v_chunks_v2 n JOIN c_v2_embedded e ON e.k = n.chunk_id""")
+def vec_embed_retried(spark, sf):
+    """The next pass over the same snapshot embeds what failed before, and only that."""
+    old, new = view(spark, sf, "chunks_v1"), view(spark, sf, "chunks_v2")
+    first = embed_incremental(embedded(embed(old)), old, new, _failing_on_edits, batch_size=1, tries=1)
+    whole = embed_incremental(first, new, new)
+    return whole.select("chunk_id", F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"), "embed_status", "origin")
+
+
 _TOPIC = "what does the retail price of a small ring say"
 step("c_topic", f"SELECT 0 AS id, '{_TOPIC}' AS question")
 vectors("c_topic_vec", "c_topic", "id", "question")
@@ -131,9 +173,9 @@ def flt_keyword_search(spark, sf):
 
 
 @query("flt_first_keyword_search", r"""SELECT question_id, rank, keyword, chunk_id, chunk_text, source_law, 0.75::double AS similarity FROM (
-  SELECT k.question_id, k.keyword, c.chunk_id, left(c.chunk_text, 500) AS chunk_text, c.source_law,
+  SELECT k.question_id, k.keyword, c.chunk_id, c.chunk_text, c.source_law,
     row_number() OVER (PARTITION BY k.question_id ORDER BY c.chunk_id) AS rank
-  FROM (SELECT question_id, wanted, coalesce(left(list_extract(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda w: length(w) > 3), 1), 100),
+  FROM (SELECT question_id, wanted, coalesce(list_extract(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda w: length(w) > 3), 1),
       'section') AS keyword FROM v_searches) k
   JOIN c_chunks c ON contains(lower(c.chunk_text), k.keyword) AND (k.wanted IS NULL OR k.wanted = c.source_law)) WHERE rank <= 5""")
 def flt_first_keyword_search(spark, sf):
@@ -204,36 +246,31 @@ def _last_line(prompts):
     return [f"{len(p)} characters: {p.splitlines()[-1]}" for p in prompts]
 
 
-@query("rag_score_model", """SELECT question_id, length(prompt) || ' characters: Provide a clear, accurate answer citing specific sections when relevant.' AS answer,
-  'second' AS model_used FROM (SELECT q.question_id, 'You are a helpful legal assistant for Indian law. Answer the user''s question based ONLY on the provided legal context. If the context doesn''t contain enough information, say so.'
-  || chr(10) || chr(10) || 'Legal Context:' || chr(10) || c.context || chr(10) || chr(10) || 'User Question: ' || q.question || chr(10) || chr(10)
-  || 'Provide a clear, accurate answer citing specific sections when relevant.' AS prompt FROM v_questions q JOIN c_context c USING (question_id))""")
+@query("rag_score_model", f"""SELECT question_id, length(prompt) || ' characters: ' || {quoted(fixed.GROUNDED_PROMPT.splitlines()[-1])} AS answer, 'second' AS model_used
+FROM (SELECT q.question_id, {filled(fixed.GROUNDED_PROMPT, context='c.context', question='q.question')} AS prompt FROM v_questions q JOIN c_context c USING (question_id))""")
 def rag_score_model(spark, sf):
     scored = answers.answer_from_context(_contexts(spark, sf), [("first", _failing), ("second", _last_line)])
     return scored.select("question_id", "answer", "model_used")
 
 
-def _legal_steps(prefix: str, results: str) -> None:
+def _legal_steps(prefix: str, results: str, questions: str = "v_questions") -> None:
     """Steps with the legal answer of every question, from its ranked results."""
     step(f"{prefix}_cited", f"""SELECT question_id, string_agg('[' || source_law || ' Section ' || section_number || '] ' || title || ':' || chr(10) || chunk_text,
     chr(10) || chr(10) ORDER BY rank) AS context, string_agg(section_number, ',' ORDER BY rank) AS cited,
   array_to_string(list_sort(list(DISTINCT source_law)), ',') AS laws
 FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rn FROM {results} WHERE content_type = 'legal_section') WHERE rn <= 3 GROUP BY question_id""")
     step(f"{prefix}_full", rf"""SELECT q.question_id, q.question, coalesce(c.context, '') || CASE WHEN s.section_number IS NULL THEN '' ELSE
-    chr(10) || chr(10) || '[Direct lookup] BNS Section ' || s.section_number || ': ' || left(s.full_text, 500) END AS context,
+    chr(10) || chr(10) || '[Direct lookup] BNS Section ' || s.section_number || ': ' || s.full_text END AS context,
   coalesce(c.cited, '') AS sections_cited, coalesce(c.laws, '') AS source_laws
-FROM v_questions q LEFT JOIN {prefix}_cited c USING (question_id)
+FROM {questions} q LEFT JOIN {prefix}_cited c USING (question_id)
 LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY section_number ORDER BY source_law, title, full_text) AS rn FROM v_bns_sections) s
-  ON s.rn = 1 AND s.section_number = nullif(regexp_extract(q.question, '(?i)section\s+(\d+)', 1), '')""")
+  ON s.rn = 1 AND s.section_number = {found('q.question', fixed.SECTION_REFERENCE)}""")
     step(prefix, rf"""SELECT question_id, context, sections_cited, source_laws, {_template_sql('question', 'context')} AS answer FROM {prefix}_full""")
 
 
 def _template_sql(question: str, context: str) -> str:
-    first = rf"nullif(regexp_extract({context}, 'Section\s+(\d+)', 1), '')"
-    return f"""CASE WHEN {first} IS NULL THEN
-  'This query relates to Indian criminal law. Please refer to the relevant BNS/BNSS/BSA sections for specific legal provisions.'
-  ELSE 'Based on the legal provisions, particularly Section ' || {first} || ', ' || lower({question})
-  || ' relates to the applicable law. Please refer to the specific section for detailed information.' END"""
+    first = found(context, fixed.CITED_SECTION)
+    return f"""CASE WHEN {first} IS NULL THEN {quoted(fixed.TEMPLATE_ANSWER_PLAIN)} ELSE {filled(fixed.TEMPLATE_ANSWER, section=first, question=f'lower({question})')} END"""
 
 
 _legal_steps("c_legal", "c_results")
@@ -247,11 +284,9 @@ def rag_legal_answer(spark, sf):
                        F.array_join("source_laws", ",").alias("source_laws"), "answer")
 
 
-@query("rag_scheme_answer", """SELECT p.profile_id, coalesce(e.found, 0) AS total_found, coalesce(e.names, '') AS eligible_schemes,
-  'A ' || p.occupation || ' from ' || p.state || ' with annual income Rs.' || p.income || ' (category: ' || p.category
-  || ') is asking about eligible government schemes. From these schemes: ' || coalesce(e.lines, '')
-  || '. List the top 3 most relevant schemes with: name, key benefit, and 2 documents needed to apply.' AS prompt,
-  'Found ' || coalesce(e.found, 0) || ' schemes for ' || p.occupation || ' in ' || p.state AS answer
+@query("rag_scheme_answer", f"""SELECT p.profile_id, coalesce(e.found, 0) AS total_found, coalesce(e.names, '') AS eligible_schemes,
+  {filled(fixed.SCHEME_PROMPT, occupation='p.occupation', state='p.state', income='p.income', category='p.category', schemes='e.lines')} AS prompt,
+  {filled(fixed.SCHEME_SUMMARY, found='coalesce(e.found, 0)', occupation='p.occupation', state='p.state')} AS answer
 FROM v_profiles p LEFT JOIN (SELECT profile_id, count(*) AS found, string_agg(scheme_name || '/' || ministry, '|' ORDER BY rank) AS names,
   string_agg('Scheme: ' || scheme_name || ' | Ministry: ' || ministry || ' | ' || preview, chr(10) ORDER BY rank) AS lines
   FROM c_eligible GROUP BY profile_id) e USING (profile_id)""")
@@ -263,14 +298,13 @@ def rag_scheme_answer(spark, sf):
 
 step("c_direct", """SELECT query_id, ipc_section, ipc_title, bns_section, bns_title, change_type, change_detail, impact_for_citizen FROM c_by_number
 UNION ALL SELECT query_id, ipc_section, ipc_title, bns_section, bns_title, change_type, change_detail, impact_for_citizen FROM c_by_topic WHERE rank = 1""")
-step("c_undecided", """SELECT query_id, 'IPC BNS ' || query || ' section change' AS question FROM v_compare_queries
+step("c_undecided", f"""SELECT query_id, {filled(fixed.COMPARE_RETRIEVAL_TEXT, query='query')} AS question FROM v_compare_queries
 WHERE query_id NOT IN (SELECT query_id FROM c_direct)""")
 vectors("c_undecided_vec", "c_undecided", "query_id", "question")
 neighbours("c_undecided_near", "c_undecided_vec", "c_chunk_vec", 3)
 step("c_compared", f"""SELECT q.query_id, d.query_id IS NOT NULL AS found_direct_match, d.ipc_section, d.bns_section, d.change_type, d.impact_for_citizen,
-  coalesce(n.context, '') AS context, CASE WHEN d.query_id IS NOT NULL THEN
-    'This query relates to Indian criminal law. Please refer to the relevant BNS/BNSS/BSA sections for specific legal provisions.'
-    ELSE {_template_sql("('How did the law on ''' || q.query || ''' change from IPC to BNS?')", "coalesce(n.context, '')")} END AS explanation
+  coalesce(n.context, '') AS context, CASE WHEN d.query_id IS NOT NULL THEN {quoted(fixed.TEMPLATE_ANSWER_PLAIN)}
+    ELSE {_template_sql(filled(fixed.COMPARE_FALLBACK_PROMPT, query='q.query'), "coalesce(n.context, '')")} END AS explanation
 FROM v_compare_queries q LEFT JOIN c_direct d ON d.query_id = q.query_id
 LEFT JOIN (SELECT n.query_id, string_agg(c.chunk_text, chr(10) ORDER BY n.rank) AS context FROM c_undecided_near n JOIN c_chunks c USING (chunk_id)
   GROUP BY n.query_id) n ON n.query_id = q.query_id""")
@@ -285,7 +319,8 @@ def rag_compare_answer(spark, sf):
 
 
 # --- routing -----------------------------------------------------------------------------------
-step("c_routed", f"""SELECT *, CASE WHEN intent = 'scheme_eligibility' AND state IS NOT NULL THEN 'SchemeAgent'
+_DEFAULTS = ", ".join(f"coalesce({c}, {v!r}) AS {c}" for c, v in fixed.PROFILE_DEFAULTS.items())
+step("c_routed", f"""SELECT * REPLACE ({_DEFAULTS}), CASE WHEN intent = 'scheme_eligibility' AND coalesce(state, income::varchar, occupation, category) IS NOT NULL THEN 'SchemeAgent'
   WHEN intent = 'law_comparison' THEN 'DiffAgent' ELSE 'BNSAgent' END AS agent_used
 FROM (SELECT *, {_ladder_sql('question', fixed.AGENT_LADDER, 'legal_question')} AS intent,
   CASE WHEN len(regexp_extract_all(question, '[\\x{{900}}-\\x{{97F}}]')) >= 0.5 * len(regexp_extract_all(question, '[\\p{{L}}\\p{{M}}]'))
@@ -297,7 +332,7 @@ step("c_routed_eligible", """SELECT question_id, count(*) AS found FROM (
     AND (s.income_limit_inr IS NULL OR s.income_limit_inr >= r.income)
     AND (contains(lower(s.beneficiary_type), lower(r.occupation)) OR contains(lower(s.beneficiary_type), 'general') OR s.beneficiary_type IS NULL))
 WHERE rank <= 10 GROUP BY question_id""")
-step("c_routed_undecided", """SELECT question_id, 'IPC BNS ' || question || ' section change' AS question FROM c_routed WHERE agent_used = 'DiffAgent'""")
+step("c_routed_undecided", f"""SELECT question_id, {filled(fixed.COMPARE_RETRIEVAL_TEXT, query='question')} AS question FROM c_routed WHERE agent_used = 'DiffAgent'""")
 vectors("c_routed_vec", "c_routed_undecided", "question_id", "question")
 neighbours("c_routed_near", "c_routed_vec", "c_chunk_vec", 3)
 step("c_routed_context", """SELECT n.query_id AS question_id, string_agg(c.chunk_text, chr(10) ORDER BY n.rank) AS context
@@ -309,19 +344,55 @@ def _routed(spark, sf):
                          view(spark, sf, "bns_sections"), inputs.schemes(spark, sf), inputs.mapping(spark, sf))
 
 
-@query("rag_route", f"""SELECT r.question_id, r.detected_lang, r.intent, r.agent_used,
-  CASE r.agent_used WHEN 'BNSAgent' THEN l.answer WHEN 'SchemeAgent' THEN 'Found ' || coalesce(e.found, 0) || ' schemes for ' || r.occupation || ' in ' || r.state
-    ELSE {_template_sql("('How did the law on ''' || r.question || ''' change from IPC to BNS?')", "coalesce(n.context, '')")} END AS answer,
+step("c_route", f"""SELECT r.question_id, r.detected_lang, r.intent, r.agent_used,
+  CASE r.agent_used WHEN 'BNSAgent' THEN l.answer WHEN 'SchemeAgent' THEN {filled(fixed.SCHEME_SUMMARY, found='coalesce(e.found, 0)', occupation='r.occupation', state='r.state')}
+    ELSE {_template_sql(filled(fixed.COMPARE_FALLBACK_PROMPT, query='r.question'), "coalesce(n.context, '')")} END AS answer,
   CASE WHEN r.agent_used = 'BNSAgent' THEN l.sections_cited END AS sections_cited,
   CASE WHEN r.agent_used = 'SchemeAgent' THEN coalesce(e.found, 0) END AS total_found,
   CASE WHEN r.agent_used = 'DiffAgent' THEN false END AS found_direct_match
 FROM c_routed r LEFT JOIN c_legal l USING (question_id) LEFT JOIN c_routed_eligible e USING (question_id) LEFT JOIN c_routed_context n USING (question_id)""")
+
+
+@query("rag_route", "SELECT * FROM c_route")
 def rag_route(spark, sf):
     return _routed(spark, sf).select(
         "question_id", "detected_lang", "intent", "agent_used", "answer",
         F.array_join("sections_cited", ",").alias("sections_cited"), "total_found", "found_direct_match")
 
 
+def _to_hindi(texts):
+    return [f"हिन्दी: {text}" for text in texts]
+
+
+@query("rag_route_translated", """SELECT question_id, agent_used, answer, CASE WHEN detected_lang = 'hi' THEN 'हिन्दी: ' || answer END AS answer_hindi FROM c_route""")
+def rag_route_translated(spark, sf):
+    made = answers.route(view(spark, sf, "routed_questions"), inputs.chunk_vectors(spark, sf), view(spark, sf, "bns_sections"),
+                         inputs.schemes(spark, sf), inputs.mapping(spark, sf), to_hindi=_to_hindi)
+    return made.select("question_id", "agent_used", "answer", "answer_hindi")
+
+
+step("c_app", f"""SELECT question_id, question, {_ladder_sql('question', fixed.APP_LADDER, 'legal_query')} AS intent FROM v_questions""")
+step("c_app_schemes", """SELECT count(*) AS found, string_agg(line, chr(10) ORDER BY rn) FILTER (WHERE rn <= 5) AS context FROM (
+  SELECT scheme_name || ' - ' || coalesce(ministry, 'Unknown') AS line, row_number() OVER (ORDER BY scheme_name, source_file) AS rn
+  FROM c_schemes WHERE scheme_name IS NOT NULL) WHERE rn <= 10""")
+step("c_app_map", """SELECT string_agg('IPC ' || ipc_section || ' → BNS ' || bns_section || ': ' || change_type, chr(10) ORDER BY ipc_section, bns_section, ipc_title) AS context
+FROM (SELECT * FROM c_mapping ORDER BY ipc_section, bns_section, ipc_title LIMIT 5)""")
+
+
+@query("rag_route_app", f"""SELECT a.question_id, a.intent,
+  CASE a.intent WHEN 'scheme_eligibility' THEN 'SchemeAgent' WHEN 'ipc_bns_comparison' THEN 'DiffAgent' ELSE 'BNSAgent' END AS agent_used,
+  CASE a.intent WHEN 'scheme_eligibility' THEN {_template_sql(filled(fixed.APP_SCHEME_PROMPT, **{k: repr(str(v)) for k, v in fixed.APP_PROFILE.items()}), "s.context")}
+    WHEN 'ipc_bns_comparison' THEN {_template_sql(filled(fixed.APP_COMPARE_PROMPT, query='a.question'), "m.context")} ELSE l.answer END AS answer,
+  CASE WHEN a.intent = 'scheme_eligibility' THEN s.found END AS total_found,
+  CASE WHEN a.intent = 'ipc_bns_comparison' THEN true END AS found_direct_match
+FROM c_app a, c_app_schemes s, c_app_map m LEFT JOIN c_legal l ON l.question_id = a.question_id""".replace(
+    "FROM c_app a, c_app_schemes s, c_app_map m LEFT", "FROM c_app a JOIN c_app_schemes s ON true JOIN c_app_map m ON true LEFT"))
+def rag_route_app(spark, sf):
+    made = answers.route_app(view(spark, sf, "questions"), inputs.chunk_vectors(spark, sf), view(spark, sf, "bns_sections"),
+                             inputs.schemes(spark, sf), inputs.mapping(spark, sf))
+    return made.select("question_id", "intent", "agent_used", "answer", "total_found", "found_direct_match")
+
+
 def _translated(texts):
     return [f"In English: {text}" for text in texts]
 

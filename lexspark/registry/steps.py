@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lexspark.registry.base import step
+from lexspark.functions import fixed
+from lexspark.registry.base import filled, quoted, step
 
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -15,43 +16,45 @@ def stripped(text: str) -> str:
     return f"regexp_replace(regexp_replace({text}, '^{SPACES}', ''), '{SPACES}$', '')"
 
 
-STATUTORY = r"(?ms)^(\d+[A-Z]?)\s*\.\s+([^\n]{5,150}?)(?:\.--|\.\s*-|:)\s*(.{20,})"
-SIMPLE = r"\A(\d+[A-Z]?)\s*\.\s+([^\n]{5,150})"
-PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"
+STATUTORY, SIMPLE = fixed.STATUTORY_SECTION, fixed.SIMPLE_SECTION
+PHRASE = fixed.CAPITALISED_PHRASE.removeprefix("(?U)")
+
+
+def found(text: str, pattern: str, group: int = 1) -> str:
+    """First match of a fixed pattern, NULL if there is none."""
+    return f"nullif(regexp_extract({text}, '{pattern}', {group}), '')"
+
+
+def amount(text: str) -> str:
+    return f"try_cast(replace(regexp_extract({text}, '{fixed.AMOUNT}', 1), ',', '') AS bigint)"
+
+
+def by_change(wordings: dict[str, str], other: str) -> str:
+    tests = " ".join(f"WHEN '{name}' THEN {filled(text, old='ipc_section', new='bns_section')}" for name, text in wordings.items())
+    return f"CASE change_type {tests} ELSE {quoted(other)} END"
 
 
 def phrases(text: str) -> str:
-    """Capitalised phrases of a text, distinct in order of first sight, at most ten, as a comma list."""
+    """Capitalised phrases of a text, distinct in order of first sight, as a comma list."""
     # Accented letters are letters too: an underscore keeps a word boundary from falling next to them.
     found = f"regexp_extract_all(regexp_replace({text}, '[À-ÖØ-öø-ɏ]', '_', 'g'), '{PHRASE}', 0)"
-    return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i)[1:10], ', ')"
+    return f"array_to_string(list_filter({found}, lambda x, i: list_position({found}, x) = i), ', ')"
 
 
 step("c_clean_docs", f"SELECT filename, {squeezed('text')} AS text FROM v_raw_docs")
-step("c_documents", "SELECT filename, left(text, 50000) AS text, length(text) AS char_count FROM c_clean_docs WHERE length(text) > 100")
-step("c_raw_schemes", f"""SELECT filename, left(t, 50000) AS text, length(t) AS char_count
+step("c_documents", "SELECT filename, text, length(text) AS char_count FROM c_clean_docs WHERE length(text) > 100")
+step("c_raw_schemes", f"""SELECT filename, t AS text, length(t) AS char_count
 FROM (SELECT filename, {squeezed('text')} AS t FROM v_scheme_texts) WHERE length(t) > 100""")
-step("c_schemes", r"""SELECT filename AS source_file,
-  nullif(regexp_extract(text, '([A-Z][A-Za-z\s]{5,100})', 1), '') AS scheme_name,
-  nullif(regexp_extract(text, 'Ministry of ([A-Za-z &]+)', 1), '') AS ministry,
-  nullif(regexp_extract(text, '(farmer|student|women|youth|rural|urban|SC|ST|OBC|entrepreneur)', 1), '') AS beneficiary_type,
-  nullif(regexp_extract(text, '(All India|All States|[A-Z][a-z]+ Pradesh|[A-Z][a-z]+ State)', 1), '') AS state,
-  try_cast(replace(regexp_extract(text, '(?:Rs\.?|₹)\s*([\d,]+)', 1), ',', '') AS bigint) AS income_limit_inr,
-  left(text, 5000) AS full_text, char_count
+step("c_schemes", f"""SELECT filename AS source_file, {found('text', fixed.SCHEME_NAME)} AS scheme_name, {found('text', fixed.MINISTRY)} AS ministry,
+  {found('text', fixed.BENEFICIARY)} AS beneficiary_type, {found('text', fixed.STATE)} AS state, {amount('text')} AS income_limit_inr,
+  text AS full_text, char_count
 FROM c_raw_schemes WHERE char_count > 100""")
-step("c_mapping", """SELECT ipc_section, ipc_title, bns_section, bns_title, change_type,
-  CASE change_type WHEN 'deleted' THEN 'Section ' || ipc_section || ' removed entirely from BNS 2023'
-    WHEN 'consolidated' THEN 'Multiple IPC sections consolidated into BNS ' || bns_section
-    WHEN 'renamed' THEN 'Section renumbered from IPC ' || ipc_section || ' to BNS ' || bns_section
-    ELSE 'Modified with updates' END AS change_detail,
-  CASE change_type WHEN 'deleted' THEN 'This offense is no longer a crime under BNS'
-    WHEN 'consolidated' THEN 'Simplified structure, same legal protection'
-    WHEN 'renamed' THEN 'Section number changed, definition largely similar'
-    ELSE 'Review specific changes for details' END AS impact_for_citizen
+step("c_mapping", f"""SELECT ipc_section, ipc_title, bns_section, bns_title, change_type,
+  {by_change(fixed.CHANGE_DETAIL, fixed.CHANGE_DETAIL_OTHER)} AS change_detail,
+  {by_change(fixed.CHANGE_IMPACT, fixed.CHANGE_IMPACT_OTHER)} AS impact_for_citizen
 FROM v_section_pairs""")
 step("c_pages", f"SELECT * FROM v_statute_pages WHERE length({stripped('text')}) >= 50")
-step("c_headed", r"""SELECT doc_id, page_no, text,
-  'CHAPTER ' || nullif(regexp_extract(text, '(?i)CHAPTER\s+([IVX]+[A-Z]?)', 1), '') AS heading FROM c_pages""")
+step("c_headed", f"SELECT doc_id, page_no, text, 'CHAPTER ' || {found('text', fixed.CHAPTER)} AS heading FROM c_pages")
 step("c_chaptered", """SELECT doc_id, page_no, text, coalesce(last_value(heading IGNORE NULLS) OVER (
     PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'UNKNOWN') AS chapter FROM c_headed""")
 step("c_split", r"""SELECT doc_id, page_no, chapter, unnest(range(0, len(parts))) AS paragraph_no, unnest(parts) AS raw
@@ -61,25 +64,25 @@ WHERE length({stripped('raw')}) >= 30""")
 step("c_matched", f"""SELECT *, regexp_extract(paragraph, '{STATUTORY}', 1) AS n1, regexp_extract(paragraph, '{STATUTORY}', 2) AS t1,
   regexp_extract(paragraph, '{STATUTORY}', 3) AS b1, regexp_extract(paragraph, '{SIMPLE}', 1) AS n3,
   regexp_extract(paragraph, '{SIMPLE}', 2) AS t3,
-  left({stripped(f"substring(paragraph, length(regexp_extract(paragraph, '{SIMPLE}', 0)) + 1)")}, 3000) AS b3 FROM c_paragraphs""")
+  {stripped(f"substring(paragraph, length(regexp_extract(paragraph, '{SIMPLE}', 0)) + 1)")} AS b3 FROM c_paragraphs""")
 step("c_sections", f"""SELECT doc_id, paragraph_no, section_number, title, full_text, chapter, 'IPC_1860' AS source_law,
-  {phrases("title || ' ' || left(full_text, 500)")} AS keywords, length(full_text) AS char_count, page_no AS page_number
+  {phrases("title || ' ' || full_text")} AS keywords, length(full_text) AS char_count, page_no AS page_number
 FROM (SELECT doc_id, paragraph_no, page_no, chapter, CASE WHEN n1 <> '' THEN n1 ELSE n3 END AS section_number,
-    left(regexp_replace({stripped("CASE WHEN n1 <> '' THEN t1 ELSE t3 END")}, '{SPACES}', ' ', 'g'), 200) AS title,
-    left(regexp_replace(CASE WHEN n1 <> '' THEN left({stripped('b1')}, 3000) WHEN length(b3) < 20 THEN paragraph ELSE b3 END,
-      '{SPACES}', ' ', 'g'), 3000) AS full_text
+    regexp_replace({stripped("CASE WHEN n1 <> '' THEN t1 ELSE t3 END")}, '{SPACES}', ' ', 'g') AS title,
+    regexp_replace(CASE WHEN n1 <> '' THEN {stripped('b1')} WHEN length(b3) < 20 THEN paragraph ELSE b3 END,
+      '{SPACES}', ' ', 'g') AS full_text
   FROM c_matched WHERE n1 <> '' OR n3 <> '')""")
 _statutes = " UNION ALL ".join(
     f"SELECT '{prefix}' || section_number AS chunk_id, section_number, title, full_text, source_law, chapter, page_number FROM {table}"
     for prefix, table in [("bns_", "v_bns_sections"), ("bnss_", "v_bnss_sections"), ("bsa_", "v_bsa_sections"), ("ipc_", "c_sections")])
 step("c_statute_rows", _statutes)
 step("c_chunks", """SELECT chunk_id, section_number, title, chunk_text, source_law, chapter, 'legal_section' AS content_type
-FROM (SELECT chunk_id, section_number, title, title || ' ' || left(full_text, 500) AS chunk_text, source_law, chapter,
-    row_number() OVER (PARTITION BY chunk_id ORDER BY length(full_text) DESC, page_number, title, title || ' ' || left(full_text, 500)) AS rn
+FROM (SELECT chunk_id, section_number, title, title || ' ' || full_text AS chunk_text, source_law, chapter,
+    row_number() OVER (PARTITION BY chunk_id ORDER BY length(full_text) DESC, page_number, title, title || ' ' || full_text) AS rn
   FROM c_statute_rows) WHERE rn = 1
 UNION ALL
 SELECT 'scheme_' || row_number() OVER (ORDER BY source_file, scheme_name), '', scheme_name,
-  concat_ws(' ', scheme_name, ministry, beneficiary_type, state, left(full_text, 400)), 'schemes', ministry, 'government_scheme'
+  concat_ws(' ', scheme_name, ministry, beneficiary_type, state, full_text), 'schemes', ministry, 'government_scheme'
 FROM c_schemes WHERE scheme_name IS NOT NULL""")
 
 
@@ -119,7 +122,7 @@ step("c_knn", """SELECT vec_id, chunk_id, source_law, content_type, rank, distan
 # eligibility: every profile against every scheme
 step("c_eligible", """SELECT profile_id, rank, source_file, scheme_name, ministry, beneficiary_type, scheme_state, income_limit_inr, preview FROM (
   SELECT p.profile_id, s.source_file, s.scheme_name, s.ministry, s.beneficiary_type, s.state AS scheme_state, s.income_limit_inr,
-    left(s.full_text, 200) AS preview,
+    s.full_text AS preview,
     row_number() OVER (PARTITION BY p.profile_id ORDER BY s.scheme_name, s.source_file) AS rank
   FROM v_profiles p JOIN c_schemes s ON (contains(lower(s.state), 'all') OR contains(lower(s.state), lower(p.state)) OR s.state IS NULL)
     AND (s.income_limit_inr IS NULL OR s.income_limit_inr >= p.income)
@@ -142,8 +145,8 @@ step("c_scored", r"""SELECT *, len(list_filter(keywords, lambda w: contains(lowe
 FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(correct_text, '\s+', ' ', 'g')), ' '),
     lambda w: length(w) > 4)[1:5], lambda w: lower(w)) AS keywords FROM v_eval_cases)""")
 step("c_outcome", """SELECT *, keywords_matched >= greatest(1, total_keywords // 2) AS correct FROM c_scored""")
-step("c_eval_results", """SELECT test_id, left(question, 200) AS question, language, subject_domain, topic, level, correct_option,
-  left(correct_text, 200) AS correct_text, CASE WHEN failed THEN 'ERROR: ' || left(error, 100) ELSE left(actual_answer, 200) END AS actual_answer,
+step("c_eval_results", """SELECT test_id, question, language, subject_domain, topic, level, correct_option,
+  correct_text, CASE WHEN failed THEN 'ERROR: ' || error ELSE actual_answer END AS actual_answer,
   CASE WHEN failed THEN 0 ELSE keywords_matched END AS keywords_matched, CASE WHEN failed THEN 0 ELSE total_keywords END AS total_keywords,
   CASE WHEN failed THEN false ELSE correct END AS correct, CASE WHEN failed THEN 0.0 ELSE response_time_ms END AS response_time_ms,
   CASE WHEN failed THEN 'error' ELSE intent END AS intent, CASE WHEN failed THEN 'error' ELSE agent_used END AS agent_used FROM c_outcome""")

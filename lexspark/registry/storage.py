@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexspark.plans import answers, corpus
+from lexspark.plans import corpus
 from lexspark.registry import inputs
 from lexspark.registry.base import query
 from lexspark.registry.views import view
@@ -86,7 +86,7 @@ def snk_vector_table(spark, sf):
     return stored.withColumn("dimension", F.size("embedding")).drop("embedding")
 
 
-@query("stm_file_ingest", "SELECT 'doc_' || doc_id AS filename, left(t, 50000) AS text, length(t) AS char_count FROM (SELECT d.doc_id, c.text AS t "
+@query("stm_file_ingest", "SELECT 'doc_' || doc_id AS filename, t AS text, length(t) AS char_count FROM (SELECT d.doc_id, c.text AS t "
        "FROM documents d JOIN c_clean_docs c ON c.filename = d.source || '_' || lpad(d.doc_id::varchar, 8, '0')) WHERE length(t) > 100")
 def stm_file_ingest(spark, sf):
     schema = tables.read_table(spark, sf, "documents").schema

@@ -37,22 +37,25 @@ SELECT cast(p_partkey AS string) || CASE WHEN p_partkey % 7 = 0 THEN 'A' ELSE ''
   CASE WHEN p_size = 50 THEN 'N/A' ELSE p_name || ' ' || lower(p_type) END AS bns_title,
   CASE WHEN p_size = 50 THEN 'deleted' WHEN p_type = 'PROMO' THEN 'modified' WHEN p_type IN ('SMALL', 'LARGE') THEN 'consolidated' ELSE 'renamed' END AS change_type
 FROM {part}""",
-    # section reference, comparison, scheme and plain questions
+    # section reference, comparison, scheme and plain questions; some in Hindi
     "questions": """
 SELECT conv_id * 1000 + turn AS question_id, conv_id,
-  CASE (conv_id + turn) % 4 WHEN 0 THEN 'What is Section ' || cast(conv_id % 200 AS string) || '? ' || text
+  CASE WHEN (conv_id + turn) % 9 = 4 THEN 'धारा ' || cast(conv_id % 200 AS string) || CASE WHEN conv_id % 2 = 0 THEN ' क्या है?' ELSE ' किस योजना में है?' END
+    ELSE CASE (conv_id + turn) % 4 WHEN 0 THEN 'What is Section ' || cast(conv_id % 200 AS string) || '? ' || text
     WHEN 1 THEN 'How did IPC ' || cast(conv_id % 200 AS string) || ' change? ' || text
-    WHEN 2 THEN 'Which scheme can a farmer apply for? ' || text ELSE text END AS question
+    WHEN 2 THEN 'Which scheme can a farmer apply for? ' || text ELSE text END END AS question
 FROM {conversations} WHERE role = 'user'""",
+    # the same with applicants: whole profiles, partial ones, none
     "routed_questions": """
 SELECT c.conv_id * 1000 + c.turn AS question_id,
-  CASE (c.conv_id + c.turn) % 4 WHEN 0 THEN 'What is Section ' || cast(c.conv_id % 200 AS string) || '? ' || c.text
+  CASE WHEN (c.conv_id + c.turn) % 9 = 4 THEN 'धारा ' || cast(c.conv_id % 200 AS string) || CASE WHEN c.conv_id % 2 = 0 THEN ' क्या है?' ELSE ' किस योजना में है?' END
+    ELSE CASE (c.conv_id + c.turn) % 4 WHEN 0 THEN 'What is Section ' || cast(c.conv_id % 200 AS string) || '? ' || c.text
     WHEN 1 THEN 'How did IPC ' || cast(c.conv_id % 200 AS string) || ' change? ' || c.text
-    WHEN 2 THEN 'Which scheme can a farmer apply for? ' || c.text ELSE c.text END AS question,
-  CASE WHEN u.c_nationkey % 4 = 0 THEN 'Uttar Pradesh' WHEN u.c_nationkey % 4 = 1 THEN 'Andhra Pradesh' WHEN u.c_nationkey % 4 = 2 THEN 'Delhi' END AS state,
-  cast(20000 + (u.c_custkey % 40) * 12500 AS bigint) AS income,
-  CASE u.c_custkey % 4 WHEN 0 THEN 'Farmer' WHEN 1 THEN 'Student' WHEN 2 THEN 'Women' ELSE 'General' END AS occupation,
-  'General' AS category
+    WHEN 2 THEN 'Which scheme can a farmer apply for? ' || c.text ELSE c.text END END AS question,
+  CASE WHEN u.c_custkey % 3 = 0 THEN NULL WHEN u.c_nationkey % 4 = 0 THEN 'Uttar Pradesh' WHEN u.c_nationkey % 4 = 1 THEN 'Andhra Pradesh' WHEN u.c_nationkey % 4 = 2 THEN 'Delhi' END AS state,
+  CASE WHEN u.c_nationkey % 4 < 3 AND u.c_custkey % 5 <> 0 THEN cast(20000 + (u.c_custkey % 40) * 12500 AS bigint) END AS income,
+  CASE WHEN u.c_nationkey % 4 < 3 THEN CASE u.c_custkey % 4 WHEN 0 THEN 'Farmer' WHEN 1 THEN 'Student' WHEN 2 THEN 'Women' END END AS occupation,
+  CASE WHEN u.c_nationkey % 4 < 2 THEN 'General' END AS category
 FROM {conversations} c LEFT JOIN {customer} u ON u.c_custkey = c.conv_id WHERE c.role = 'user'""",
     # section numbers, padded numbers, topics that occur in titles, topics that do not
     "compare_queries": """
@@ -60,19 +63,20 @@ SELECT c_custkey AS query_id, CASE c_custkey % 4
     WHEN 0 THEN cast(c_custkey AS string) || CASE WHEN c_custkey % 7 = 0 THEN 'A' ELSE '' END
     WHEN 1 THEN ' ' || cast(c_custkey % 60 AS string) || ' '
     WHEN 2 THEN upper(p_name) ELSE lower(c_mktsegment) || ' ' || cast(c_nationkey AS string) END AS query
-FROM {customer} JOIN {part} ON p_partkey = c_custkey""",
+FROM {customer} LEFT JOIN {part} ON p_partkey = c_custkey""",
     # search texts with a source to search in; two of them have no vectors
     "searches": """
 SELECT c_custkey AS question_id, CASE c_custkey % 3 WHEN 0 THEN p_name WHEN 1 THEN n_name ELSE 'plan ' || cast(c_custkey AS string) END AS question,
   CASE c_custkey % 4 WHEN 0 THEN 'IPC_1860' WHEN 1 THEN 'schemes' WHEN 2 THEN 'no_such_source' END AS wanted
-FROM {customer} JOIN {part} ON p_partkey = c_custkey JOIN {nation} ON n_nationkey = c_nationkey""",
+FROM {customer} LEFT JOIN {part} ON p_partkey = c_custkey JOIN {nation} ON n_nationkey = c_nationkey""",
     "eval_cases": """
 SELECT d.doc_id AS test_id, d.lang AS language, d.source AS topic, 'Domain ' || d.lang AS subject_domain,
   CASE l.toxic WHEN 1 THEN 'Hard' ELSE 'Easy' END AS level, b.text AS correct_text, d.text AS question,
   CASE WHEN d.doc_id % 2 = 0 THEN b.text ELSE d.text END AS actual_answer, 'A' AS correct_option,
-  cast(d.n_chars AS double) / 10 AS response_time_ms, l.quality = 0 AS failed, 'no reply' AS error,
+  cast(d.n_chars AS double) / 10 AS response_time_ms, coalesce(l.quality = 0, false) AS failed, 'no reply' AS error,
   'legal_query' AS intent, 'BNSAgent' AS agent_used
-FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id JOIN {benchmark} b ON b.item_id = d.doc_id % 40""",
+FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
+JOIN {benchmark} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {benchmark})""",
     "mcq_questions": """
 SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'hi' ELSE 'en' END AS language, text AS question,
   substring(text, 1, 30) AS option_a, substring(text, 31, 30) AS option_b, substring(text, 61, 30) AS option_c, substring(text, 91) AS option_d,

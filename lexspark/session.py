@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -31,21 +32,34 @@ def build_session(app: str = "lexspark", master: str | None = None, **conf: obje
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where a session names none, as in local tests, is a new temporary folder made and
-    remembered in the session, so that every job of that session uses the same one.
+    Only in local mode, where all tasks share one machine, may a session name none: a temporary folder is then
+    made, used by every job of that session, and removed when the driver ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lexspark.shared.dir", None)
     if not path:
+        if not _is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lexspark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("lexspark.shared.dir", path)
     return path.rstrip("/")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove a written scratch folder when the driver ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable; a directory that is already set is kept."""
     context = spark.sparkContext
@@ -56,11 +70,11 @@ def use_checkpoints(spark: SparkSession) -> None:
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor, once per session."""
     context = spark.sparkContext
-    if context.master.startswith("local"):
-        return  # workers inherit the driver's path
     if getattr(context, "_lexspark_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexspark-"), "lexspark"), "zip", root, "lexspark")
+    folder = tempfile.mkdtemp(prefix="lexspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(os.path.realpath(folder), "lexspark"), "zip", root, "lexspark")
     context.addPyFile(archive)
     context._lexspark_shipped = True
