@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import SPACE, squeeze
+from lexspark.operators.windows import top_k
 from lexspark.session import use_checkpoints
 
 _GRAM = 4
@@ -26,6 +27,40 @@ def _grams(token: str, sizes: list[int]) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of_size(size) for size in sizes])))
 
 
+def _holding(words: DataFrame, vocabulary: DataFrame) -> DataFrame | None:
+    """Rows of ``vocabulary`` (with ``_token``) and each of ``words`` (``_word``) inside the token, through short grams.
+
+    None if there is no word at all.
+    """
+    distinct_words = words.select("_word").distinct().withColumn("_gram", F.substring("_word", 1, _GRAM))
+    # At most _GRAM rows: the gram lengths that short words make necessary.
+    sizes = sorted(row[0] for row in distinct_words.select(F.length("_gram")).distinct().limit(_GRAM).collect())
+    if not sizes:
+        return None
+    return (
+        vocabulary.withColumn("_gram", F.explode(_grams("_token", sizes)))
+        .join(distinct_words, "_gram")
+        .where(F.contains("_token", "_word"))
+        .drop("_gram")
+    )
+
+
+def least_holding(words: DataFrame, word: str, texts: DataFrame, text_id: str, text: str, group: str, k: int) -> DataFrame:
+    """(word, group, text_id): per group the ``k`` least text ids that hold each one-word pattern.
+
+    Every token keeps its k least texts of a group before it meets a word, so a word that stands
+    nearly everywhere costs no more than a rare one.
+    """
+    asked = words.select(F.col(word).alias("_word")).where(F.col(word) != "").distinct()
+    tokens = texts.select(text_id, group, F.explode(_tokens(text)).alias("_token"))
+    first = top_k(tokens, ["_token", group], [text_id], k).drop("rank")
+    held = _holding(asked, first.select("_token").distinct())
+    if held is None:
+        return first.select(F.col("_token").alias(word), group, text_id).where(F.lit(False))
+    hits = first.join(held, "_token").select(F.col("_word").alias(word), group, text_id).distinct()
+    return top_k(hits, [word, group], [text_id], k).drop("rank")
+
+
 def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
     """Distinct (pattern, text_id) with the pattern literally inside the text; blank patterns match nothing.
 
@@ -39,22 +74,12 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
     """
     wanted = patterns.select(F.col(pattern).alias("_pattern")).where(squeeze(F.col(pattern)) != "").distinct()
     words = wanted.select("_pattern", F.explode(_tokens("_pattern")).alias("_word"))
-    distinct_words = words.select("_word").distinct().withColumn(
-        "_gram", F.substring("_word", 1, _GRAM))
-    # At most _GRAM rows: the gram lengths that short words make necessary.
-    sizes = sorted(row[0] for row in distinct_words.select(F.length("_gram")).distinct().limit(_GRAM).collect())
-    if not sizes:
-        return wanted.select("_pattern", F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id)).where(F.lit(False)) \
-            .withColumnRenamed("_pattern", pattern)
-
     tokens = texts.select(text_id, F.explode(_tokens(text)).alias("_token"))
     vocabulary = tokens.groupBy("_token").agg(F.count("*").alias("_texts"))
-    matched = (
-        vocabulary.withColumn("_gram", F.explode(_grams("_token", sizes)))
-        .join(distinct_words, "_gram")
-        .where(F.contains("_token", "_word"))
-        .select("_word", "_token", "_texts")
-    )
+    matched = _holding(words, vocabulary)
+    if matched is None:
+        return wanted.select("_pattern", F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id)).where(F.lit(False)) \
+            .withColumnRenamed("_pattern", pattern)
     reach = matched.groupBy("_word").agg(F.sum("_texts").alias("_reach"))
     anchors = (
         words.join(reach, "_word", "left")

@@ -6,7 +6,7 @@ import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
@@ -53,6 +53,28 @@ def reachable_schemes(schemes: DataFrame, limit: int) -> DataFrame:
     return local.repartition(*_CLASS).sortWithinPartitions(*sort).mapInPandas(prune, schemes.schema)
 
 
+def next_limits(incomes: DataFrame, limits: DataFrame) -> DataFrame:
+    """(income, bracket): the least limit that still admits the income, NULL if there is none.
+
+    Both tables have one column of distinct numbers. Values are sorted within narrow ranges (eighths of a power of
+    two); where the rest of a range holds no limit, the first limit of the next range that has one is taken. There are
+    at most 512 ranges, whatever the tables hold, so the table of their first limits is broadcast.
+    """
+    def placed(df: DataFrame, is_limit: bool) -> DataFrame:
+        value = F.col(df.columns[0])
+        spot = F.floor(F.log2(F.greatest(value, F.lit(0)).cast("double") + 1) * 8).cast("int")
+        return df.where(value.isNotNull()).select(value.alias("_value"), F.lit(is_limit).alias("_is_limit"), spot.alias("_range"))
+
+    both = placed(incomes, False).unionByName(placed(limits, True))
+    onward = Window.partitionBy("_range").orderBy("_value", "_is_limit").rowsBetween(0, Window.unboundedFollowing)
+    inside = both.withColumn("_inside", F.first(F.when(F.col("_is_limit"), F.col("_value")), ignorenulls=True).over(onward))
+    ranges = both.groupBy("_range").agg(F.min(F.when(F.col("_is_limit"), F.col("_value"))).alias("_first"))
+    after = Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    later = ranges.select("_range", F.first("_first", ignorenulls=True).over(after).alias("_later"))
+    return inside.where(~F.col("_is_limit")).join(F.broadcast(later), "_range").select(
+        F.col("_value").alias("income"), F.coalesce("_inside", "_later").alias("_bracket"))
+
+
 def _keys(profiles: DataFrame, wish: str, classes: DataFrame, label: str) -> DataFrame:
     """(wish, class) pairs: class values that contain the wish, and the class open to anybody."""
     wishes = profiles.select(wish).distinct()
@@ -86,21 +108,25 @@ def eligible(profiles: DataFrame, schemes: DataFrame, limit: int = fixed.ELIGIBL
     classes = reachable.select(*_CLASS).distinct()
     by_state = _keys(wishes, "_wish_state", classes, "_state")
     by_who = _keys(wishes, "_wish_who", classes, "_who")
-    # Whoever wishes the same with the same income sees the same schemes: match each case once.
-    case = ["_wish_state", "_wish_who", "income"]
-    admitted = F.col("income_limit_inr").isNull() | (F.col("income_limit_inr") >= F.col("income"))
+    # Whoever wishes the same and has incomes between the same limits sees the same schemes: match each case once.
+    # There are no more cases of one wish than there are limits, however many incomes.
+    brackets = next_limits(wishes.select("income").distinct(), reachable.select("income_limit_inr").distinct())
+    wishes = wishes.where(F.col("income").isNotNull()).join(brackets, "income").unionByName(
+        wishes.where(F.col("income").isNull()), allowMissingColumns=True)
+    case = ["_wish_state", "_wish_who", "_bracket"]
+    admitted = F.col("income_limit_inr").isNull() | (F.col("income_limit_inr") >= F.col("_bracket"))
     matches = (
         wishes.select(*case).distinct()
         .join(by_state, "_wish_state").join(by_who, "_wish_who")
         .join(reachable, _CLASS)
         .where(admitted)
     )
-    ranked = top_k(matches, case, _ORDER, limit).withColumnRenamed("income", "_income")
-    found = ranked.select(*[F.col(c).alias(f"_f{c}") for c in ("_wish_state", "_wish_who", "_income")], "rank",
+    ranked = top_k(matches, case, _ORDER, limit)
+    found = ranked.select(*[F.col(c).alias(f"_f{c}") for c in case], "rank",
                           "source_file", "scheme_name", "ministry", "beneficiary_type", "scheme_state",
                           "income_limit_inr", "preview")
     same = (F.col("_wish_state") == F.col("_f_wish_state")) & (F.col("_wish_who") == F.col("_f_wish_who")) \
-        & F.col("income").eqNullSafe(F.col("_f_income"))
+        & F.col("_bracket").eqNullSafe(F.col("_f_bracket"))
     return wishes.select("profile_id", *case).join(found, same).select(
         "profile_id", "rank", "source_file", "scheme_name", "ministry", "beneficiary_type", "scheme_state",
         "income_limit_inr", "preview")

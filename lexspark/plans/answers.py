@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
 from lexspark.functions import text as tx
-from lexspark.operators.containment import contains_pairs
+from lexspark.operators.containment import contains_pairs, least_holding
 from lexspark.operators.eligibility import eligible, eligible_by_state
 from lexspark.operators.embedding import embed, embedded, failures
 from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup_section, section_map_sample
@@ -70,9 +70,8 @@ def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted
     source = F.col(wanted) if wanted else F.lit(None).cast("string")
     asked = questions.select("question_id", tx.first_long_word(F.col("question")).alias("keyword"),
                              source.alias("_wanted"))
-    lowered = chunks.select("chunk_id", F.lower("chunk_text").alias("_text"))
-    hits = contains_pairs(asked, "keyword", lowered, "chunk_id", "_text")
-    sourced = hits.join(chunks.select("chunk_id", "source_law"), "chunk_id")
+    lowered = chunks.select("chunk_id", "source_law", F.lower("chunk_text").alias("_text"))
+    sourced = least_holding(asked, "keyword", lowered, "chunk_id", "_text", "source_law", k)
     # A chunk answers requests for any source (NULL) and for its own.
     offers = sourced.select("keyword", "chunk_id", F.explode(
         F.array(F.lit(None).cast("string"), F.col("source_law"))).alias("_offer")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import changes, lookups, reports, windows
 from lexspark.operators.containment import contains_pairs
-from lexspark.operators.eligibility import eligible, eligible_by_state
+from lexspark.operators.eligibility import eligible, eligible_by_state, next_limits
 from lexspark.plans.corpus import mapping_table
 
 
@@ -175,3 +175,16 @@ def test_class_list_is_bounded_and_count_is_not(spark):
     df = spark.range(500).select(F.lit("Women").alias("c"), F.format_string("n%03d", "id").alias("name"))
     r = reports.collect_by_class(df, "c", "name", ["name"], 100).first()
     assert r.scheme_count == 500 and r.schemes == [f"n{i:03d}" for i in range(100)]
+
+
+def test_incomes_between_the_same_limits_are_one_case(spark):
+    incomes = [0, 1, 5, 99, 100, 101, 4_000, 70_000, 70_001, 10**12, -3]
+    limits = [5, 100, 70_000, 10**6, 10**6 + 1]
+    got = dict(next_limits(spark.createDataFrame([(i,) for i in incomes], "income long"),
+                           spark.createDataFrame([(x,) for x in limits] + [(None,)], "income_limit_inr long")).collect())
+    assert got == {i: min((x for x in limits if x >= i), default=None) for i in incomes}
+    many = spark.range(20_000).select(F.col("id").alias("profile_id"), F.lit("Goa").alias("state"), F.col("id").alias("income"),
+                                      F.lit("Farmer").alias("occupation"), F.lit("General").alias("category"))
+    found = eligible(many, spark.createDataFrame(_schemes(), _SCHEME), 2)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and found.select("profile_id").distinct().count() > 0
