@@ -8,6 +8,7 @@ known lengths and identifiers are as random but no secrets, so they are excluded
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ _IDENTIFIERS = re.compile("|".join((
     r"[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{128}",  # digests by length
     r"[0-9]+(?:[-_/][0-9]+)*",  # numbers and dates
 )))
-_WORDS = re.compile(r"[A-Za-z][a-z]{5,}|[A-Z]{6,}")
+_PARTS = re.compile(r"[^/=_-]{16,}")
+_LONG, _LETTERS_ONLY = 5, 0.9  # a token of whole words; the share of the ratio for strings without a digit
 
 
 def base_spans(text: str) -> list[Span]:
@@ -46,19 +48,36 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in _HEX_RUN.finditer(text)]
 
 
-def looks_random(text: str, tokens: int, ratio: float) -> bool:
-    """Letters and digits mixed, no known digest or identifier, and few characters per token."""
-    if _IDENTIFIERS.fullmatch(text) or not re.search("[0-9]", text) or not re.search("[A-Za-z]", text):
+def looks_random(text: str, tokens: list[int], ratio: float) -> bool:
+    """No known digest or identifier, few characters per token (fewer still without digits), and not mostly long tokens.
+
+    ``tokens`` are the lengths of the tokens of ``text``.
+    """
+    if _IDENTIFIERS.fullmatch(text) or len(set(text)) < 8:
         return False
-    if len(set(text)) < 10 or sum(map(len, _WORDS.findall(text))) > 0.5 * len(text):
+    if 2 * sum(n for n in tokens if n >= _LONG) > len(text):
         return False
-    return len(text) / tokens < ratio
+    return len(text) / len(tokens) < (ratio if re.search("[0-9]", text) else _LETTERS_ONLY * ratio)
+
+
+def random_spans(text: str, lengths: Callable[[str], list[int]], ratio: float) -> list[Span]:
+    """Candidates that look random as a whole, else those of their parts between / = _ - that do."""
+    out: list[Span] = []
+    for m in _CANDIDATE.finditer(text):
+        if _IDENTIFIERS.fullmatch(m[0]):
+            continue
+        parts = [p for p in _PARTS.finditer(text, m.start(), m.end())]
+        if not any(_IDENTIFIERS.fullmatch(p[0]) for p in parts) and looks_random(m[0], lengths(m[0]), ratio):
+            out.append(("random", m.start(), m.end()))
+        else:
+            out += [("random", p.start(), p.end()) for p in parts if looks_random(p[0], lengths(p[0]), ratio)]
+    return out
 
 
 def secrets(documents: DataFrame, ratio: float = 2.2, vocabulary: str | None = None) -> DataFrame:
     """All columns of ``documents`` but text, and ``_spans``: kind, start, end (code points), base or added.
 
-    Candidates for ``random`` are runs of 16 or more characters of keys and encodings; those with fewer than ``ratio``
+    Candidates for ``random`` are runs of 16 or more characters of keys and encodings, and their parts of that length; those with fewer than ``ratio``
     characters per token of the byte-level vocabulary are added where they touch no base span. Null text counts as
     empty. Repeated rows are judged each for itself; text is read whole, and no other column is looked at.
     """
@@ -66,13 +85,14 @@ def secrets(documents: DataFrame, ratio: float = 2.2, vocabulary: str | None = N
     def finder():
         encoding = byte_bpe(vocabulary)
 
+        def lengths(text: str) -> list[int]:
+            return [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(text)]
+
         def find(texts: list[str]):
             out = []
             for text in texts:
                 base = base_spans(text)
-                more = [("random", m.start(), m.end()) for m in _CANDIDATE.finditer(text)
-                        if looks_random(m[0], len(encoding.encode_ordinary(m[0])), ratio)]
-                out.append((base, free(more, base)))
+                out.append((base, free(random_spans(text, lengths, ratio), base)))
             return out
 
         return find
