@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontamination, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
+from lexspark.llm import decontamination, fim, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
 from lexspark.sources.tables import read_table
 from pyspark.sql import functions as F
 
@@ -166,6 +166,23 @@ def decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
 
+@query("op12_fill_in_middle", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS hx,
+  list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)::BIGINT) AS lens FROM documents),
+k AS (SELECT *, len(lens)::BIGINT AS n, ('0x' || substr(hx, 1, 8))::UBIGINT AS h1, ('0x' || substr(hx, 9, 8))::UBIGINT AS h2,
+  ('0x' || substr(hx, 17, 8))::UBIGINT AS h3, ('0x' || substr(hx, 25, 8))::UBIGINT AS h4 FROM t),
+c AS (SELECT *, coalesce(list_sum(lens[1:least(h1 % (n + 1), h2 % (n + 1))]), 0)::BIGINT AS i, coalesce(list_sum(lens[1:greatest(h1 % (n + 1), h2 % (n + 1))]), 0)::BIGINT AS j,
+  CASE WHEN doc_id IS NULL OR text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (SELECT *, substring(text, 1, i) AS pre, substring(text, i + 1, j - i) AS mid, substring(text, j + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM o
+""")
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(read_table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
