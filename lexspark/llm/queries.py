@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontamination, fim, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
+from lexspark.llm import decontamination, divergence, fim, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
 from lexspark.sources.tables import read_table
 from pyspark.sql import functions as F
 
@@ -183,6 +183,29 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(read_table(spark, sf_dir, "documents"))
 
 
+@query("op13_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+occ AS (SELECT lang, source, rid, unnest(terms) AS term FROM d),
+gt AS (SELECT lang, source, term, count(*) AS c FROM occ GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS lc FROM occ GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS V, sum(lc) AS NL FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce((SELECT sum(c) FROM gt JOIN kept k USING (lang, term) WHERE gt.lang = g.lang AND gt.source = g.source), 0) AS N FROM groups g),
+dense AS (SELECT gn.lang, gn.source, kept.term, coalesce(gt.c, 0) AS c,
+  1 + (1000000000::HUGEINT * (coalesce(gt.c, 0) + 5)) // (gn.N + 5 * v.V) AS p, 1 + (1000000000::HUGEINT * (kept.lc + 5)) // (v.NL + 5 * v.V) AS q
+  FROM gn JOIN kept ON kept.lang = gn.lang JOIN v ON v.lang = gn.lang LEFT JOIN gt ON gt.lang = gn.lang AND gt.source = gn.source AND gt.term = kept.term),
+dist AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(dist.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM dense WHERE c > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
