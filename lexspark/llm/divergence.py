@@ -37,7 +37,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, SMOOTHING = 1_000_000_000, 5
 MIN_DOCS, TOP = 30, 50
 
-BUDGET = 500_000  # postings held by one task before a run is spilled; bounds the memory of a task
+BUDGET = 100_000  # postings held by one task before a run is spilled; bounds the memory of a task
+BROADCAST_GROUPS = 200_000  # (lang, source) groups up to which their list is broadcast
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _POSTINGS = "lang string, source string, term string, count long, docs long"
 
@@ -80,6 +81,30 @@ def _p(count: str, total: str, size: str):
                   f"div CAST({total} + {SMOOTHING} * {size} AS DECIMAL(38,0))").cast("long")
 
 
+def _corrections():
+    """For one term: (source, other, value) corrections of the baseline, streamed into partial sums.
+
+    ``dense`` holds p of the term for every source of the language (z where the source lacks it); a posting
+    (g, t) corrects (g, o) for every other o, and (o, g) too where o lacks t, so each ordered pair gets
+    each term of the union of both once.
+    """
+    have = F.map_from_entries(F.transform("have", lambda h: F.struct(h["source"], h["p"])))
+    dense = F.transform("all", lambda o: F.struct(o["source"].alias("source"), o["z"].alias("z"),
+                                                   F.coalesce(F.element_at(have, o["source"]), o["z"]).alias("p"),
+                                                   F.element_at(have, o["source"]).isNotNull().alias("held")))
+
+    def from_posting(h):
+        def to(o):
+            value = F.abs(h["p"] - o["p"]) - F.abs(h["z"] - o["z"])
+            ahead = F.array(F.struct(h["source"].alias("source"), o["source"].alias("other"), value.alias("value")))
+            back = F.array(F.struct(o["source"].alias("source"), h["source"].alias("other"), value.alias("value")))
+            return F.when(o["held"], ahead).otherwise(F.concat(ahead, back))
+
+        return F.flatten(F.transform(F.filter(dense, lambda o: o["source"] != h["source"]), to))
+
+    return F.flatten(F.transform("have", from_posting))
+
+
 def frequencies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(lang, source, term, count, docs): runs of every task merged per hash shard."""
     clean = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
@@ -109,15 +134,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, budget: int
     terms = (scored.join(lang_p, ["lang", "term"]).where(F.col("p") > F.col("q"))
              .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value")))
 
+    # every group of a language with its zero probability, one row a language (entries: its sources)
+    everyone = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "z"))).alias("all"))
     other = groups.select("lang", F.col("source").alias("other"), F.col("z").alias("zo"))
     base = (groups.join(other, "lang").where(F.col("source") != F.col("other"))
             .select("lang", "source", "other", (F.col("V") * F.abs(F.coalesce(F.col("z") - F.col("zo"), F.lit(0)))).alias("value")))
-    theirs = scored.select("lang", F.col("source").alias("other"), "term", F.col("p").alias("po"))
-    fanned = (scored.join(other, "lang").where(F.col("source") != F.col("other"))
-              .join(theirs, ["lang", "other", "term"], "left")
-              .withColumn("value", F.abs(F.col("p") - F.coalesce("po", "zo")) - F.abs(F.col("z") - F.col("zo"))))
-    corrections = fanned.select("lang", "source", "other", "value").unionByName(
-        fanned.where(F.col("po").isNull()).select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "value"))
+    # postings of a term across the sources of its language: at most one entry a source
+    per_term = scored.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "z")).alias("have"))
+    if groups.count() <= BROADCAST_GROUPS:  # the list of groups is broadcast only under a counted bound
+        everyone = F.broadcast(everyone)
+    corrections = per_term.join(everyone, "lang").select("lang", F.explode(_corrections()).alias("c")).select("lang", "c.*")
     pairs = (base.unionByName(corrections).groupBy("lang", "source", "other").agg(F.sum("value").cast("long").alias("value"))
              .select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value"))
 
