@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontamination, divergence, fim, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
+from lexspark.llm import decontamination, divergence, fim, licenses, lines, packing, pii, quality, secret_scan, simhash, substrings, urls, viterbi
 from lexspark.sources.tables import read_table
 from pyspark.sql import functions as F
 
@@ -166,6 +166,33 @@ def decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
 
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(licenses.TEMPLATES))
+    span = licenses.Templates().span
+    word = licenses.WORD
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+ph AS (SELECT label, string_split(phrase, ' ') AS p FROM (VALUES {phrases}) v(phrase, label)),
+places AS (SELECT rid, label, i FROM t, ph, range(0, greatest(len(w) - len(p) + 1, 0)) r(i) WHERE w[i + 1:i + len(p)] = p),
+base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY rid),
+tt AS (SELECT n, label, list_distinct(regexp_extract_all(text, '{word}')) AS tw FROM (VALUES {templates}) v(n, label, text)),
+blocks AS (SELECT rid, list_distinct(w[b * {span} + 1:b * {span} + {2 * span}]) AS bw FROM t, range(0, greatest(1, ceil((len(w) - {span}) / {span})::BIGINT)) r(b) WHERE len(w) > 0),
+m AS (SELECT rid, list_sort(list_distinct(list(label))) AS labels, max(len(list_intersect(bw, tw)) / len(tw)) AS score FROM blocks, tt
+  WHERE len(list_intersect(bw, tw)) >= (({licenses.TENTHS} * len(tw) + 9) // 10) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(coalesce(base.labels, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels, coalesce(m.score, 0.0)::DOUBLE AS score
+FROM t LEFT JOIN base USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
+@query("op11_license_scan", _license_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
 @query("op12_fill_in_middle", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS hx,
   list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)::BIGINT) AS lens FROM documents),
