@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import decontamination, lines, near_copies, packing, quality
+from lexspark.llm import decontamination, lines, packing, quality, simhash
 from lexspark.llm.store import saved
 from lexspark.session import ship_package
 from lexspark.sources.tables import read_table
@@ -23,9 +23,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles of similarity 0.8 or more."""
+    """SimHash near-dedup with the operator's contract: 3-word shingles, fingerprints within 2 bits are linked;
+    the document of the smallest doc_id of each component stays."""
     ship_package(spark)
-    return near_copies.one_of_each(docs, width=5, tenths=8)
+    return simhash.one_of_each(docs, width=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
