@@ -9,7 +9,7 @@ from lexspark.llm import packing, quality
 
 from .conftest import SMALL
 from .test_decontamination import plain as plain_contaminated
-from .test_lines import plain as plain_lines
+from .test_long_lines import plain_words
 from .test_packing import checked
 from .test_quality import plain as plain_quality
 from .test_simhash import plain_components, plain_fingerprint
@@ -27,8 +27,8 @@ def test_run_against_brute_force(spark, table):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
     items = duckdb.sql(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
     docs = [(i, t) for i, t in docs if not rules(t)]
-    docs = [(i, t) for i, t, *_ in plain_lines(docs, 3)]
-    classes = plain_components([plain_fingerprint(t, 5) for _, t in docs], [i for i, _ in docs])
+    docs = [(i, t) for i, t, *_ in plain_words(docs, 3, 15)]
+    classes = plain_components([plain_fingerprint(t, 3) for _, t in docs], [i for i, _ in docs], distance=2)
     docs = [d for d, c in zip(docs, classes) if d[0] == c]
     bad = {r[0] for r in plain_contaminated(docs, items, 10) if r[5]}
     docs = [d for d in docs if d[0] not in bad]
