@@ -47,3 +47,8 @@ def test_odd_rows_alone(spark, table):
 
 def test_empty(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_python_blocks_equal_spark_aggregation(spark, small_rows, table):
+    docs = spark.createDataFrame(small_rows + ODD, SCHEMA)
+    assert table(divergence.frequencies(docs, budget=5, python=True)) == table(divergence.frequencies(docs))
