@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
 from lexspark.functions import text as tx
-from lexspark.operators import reports
+from lexspark.operators import ann, reports
 from lexspark.operators.eligibility import eligible, eligible_by_state
 from lexspark.operators.embedding import embed, embed_incremental, embedded, hashed_counts, text_similarity
 from lexspark.operators.vectors import filter_after_ranking, nearest
@@ -36,6 +36,20 @@ def vec_knn_filtered(spark, sf):
     return _stored_neighbours(spark, sf, wanted="wanted").drop("distance")
 
 
+@query("vec_knn_ivfpq")
+def vec_knn_ivfpq(spark, sf):
+    """Approximate 5 nearest of every stored vector whose id is divisible by 50, against all: inverted file over
+    product-quantised residuals, exact re-ranking; ``scanned`` is the number of index rows each query read.
+    Approximate by design, so no SQL: tests measure recall@5 against the exact query."""
+    stored = view(spark, sf, "chunk_vectors")
+    books = ann.fit(stored)
+    coded = ann.index(stored, books)
+    asked = stored.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ann.search(asked, stored, books, coded, 5)
+    names = stored.select(F.col("vec_id").alias("id"), "chunk_id")
+    return found.join(names, "id").select(F.col("query_id").alias("vec_id"), "chunk_id", "rank", F.round("distance", 6).alias("distance"), "scanned")
+
+
 @query("vec_knn_cells", "SELECT vec_id, chunk_id, rank, round(distance, 6) AS distance, similarity FROM c_knn")
 def vec_knn_cells(spark, sf):
     """The way for query tables that are too large to be broadcast."""
