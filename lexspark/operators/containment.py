@@ -61,16 +61,10 @@ def least_holding(words: DataFrame, word: str, texts: DataFrame, text_id: str, t
     return top_k(hits, [word, group], [text_id], k).drop("rank")
 
 
-def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
-    """Distinct (pattern, text_id) with the pattern literally inside the text; blank patterns match nothing.
-
-    Text ids are unique; patterns may repeat.
+def _leads(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str):
+    """(wanted patterns, postings (text_id, _token), leads (_pattern, _token)): the tokens that hold each pattern's rarest word.
 
-    A text can contain a pattern only if, for each word of the pattern, one of its own
-    whitespace-separated tokens contains that word. So words are matched against the *vocabulary*
-    of the texts on short character grams, the pattern word found in the fewest texts becomes its
-    anchor, and only texts holding a token of the anchor are compared with the pattern. A pattern of one
-    word needs no comparison: a token that holds the word proves the text does.
+    leads is None if no pattern has a word.
     """
     wanted = patterns.select(F.col(pattern).alias("_pattern")).where(squeeze(F.col(pattern)) != "").distinct()
     words = wanted.select("_pattern", F.explode(_tokens("_pattern")).alias("_word"))
@@ -78,8 +72,7 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
     vocabulary = tokens.groupBy("_token").agg(F.count("*").alias("_texts"))
     matched = _holding(words, vocabulary)
     if matched is None:
-        return wanted.select("_pattern", F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id)).where(F.lit(False)) \
-            .withColumnRenamed("_pattern", pattern)
+        return wanted, tokens, None
     reach = matched.groupBy("_word").agg(F.sum("_texts").alias("_reach"))
     anchors = (
         words.join(reach, "_word", "left")
@@ -90,6 +83,87 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
         .select("_pattern", F.col("_rarest._word").alias("_word"))
     )
     leads = anchors.join(matched, "_word").select("_pattern", "_token")
+    return wanted, tokens, leads
+
+
+def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str, k: int,
+                     blocks: int = 64) -> DataFrame:
+    """(pattern, text_id, rank): per pattern the ``k`` least text ids whose text holds it literally (top-k containment).
+
+    Postings of a pattern's anchor token are visited in text-id order: the texts are range-partitioned by id into
+    ``blocks`` ordered blocks, visited in rounds of 1, 2, 4, ... blocks. Each round verifies the candidates of the
+    patterns still open, keeps at most ``k`` hits of each, and closes the patterns that have ``k``; so a pattern
+    that stands in every text ends after the first block, and no round hands on more than ``k`` rows a pattern.
+    Text ids are unique; patterns may repeat; blank patterns match nothing.
+    """
+    from lexspark.operators.windows import top_k
+    from lexspark.session import scratch_path
+
+    spark = patterns.sparkSession
+    wanted, _, leads = _leads(patterns, pattern, texts, text_id, text)
+    empty = wanted.select(F.col("_pattern").alias(pattern), F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id),
+                          F.lit(1).alias("rank")).where(F.lit(False))
+    if leads is None:
+        return empty
+    path = scratch_path(spark, "ordered-texts")
+    texts.select(text_id, text).repartitionByRange(blocks, text_id).withColumn("_block", F.spark_partition_id()) \
+        .write.parquet(path)
+    _write_done(spark, path)
+    ordered = spark.read.parquet(path)
+    postings = ordered.select(text_id, "_block", F.explode(_tokens(text)).alias("_token"))
+    cuts = sorted(r[0] for r in ordered.select("_block").distinct().collect())  # at most ``blocks`` numbers
+    open_leads, found, start, width = leads, None, 0, 1
+    while start < len(cuts) and open_leads is not None:
+        visit = cuts[start:start + width]
+        here = postings.where(F.col("_block").isin(visit)).join(open_leads, "_token").select("_pattern", text_id).distinct()
+        proven = ~F.col("_pattern").rlike(SPACE)
+        texts_here = ordered.where(F.col("_block").isin(visit)).select(text_id, F.col(text).alias("_text"))
+        hits = here.where(proven).unionByName(
+            here.where(~proven).join(texts_here, text_id).where(F.contains("_text", "_pattern")).select("_pattern", text_id))
+        kept = top_k(hits, ["_pattern"], [text_id], k).drop("rank")
+        found = kept if found is None else found.unionByName(kept)
+        found = spark.read.parquet(_write(found, scratch_path(spark, "first-hits")))
+        full = top_k(found, ["_pattern"], [text_id], k).groupBy("_pattern").count().where(F.col("count") >= k).select("_pattern")
+        open_leads = open_leads.join(full, "_pattern", "left_anti")
+        open_leads = spark.read.parquet(_write(open_leads, scratch_path(spark, "open-leads")))
+        if open_leads.isEmpty():
+            open_leads = None
+        start, width = start + width, width * 2
+    if found is None:
+        return empty
+    ranked = top_k(found, ["_pattern"], [text_id], k)
+    return wanted.join(ranked, "_pattern").select(F.col("_pattern").alias(pattern), text_id, "rank")
+
+
+def _write_done(spark, path: str) -> None:
+    from lexspark.session import remove_at_exit
+
+    remove_at_exit(spark, path)
+
+
+def _write(df: DataFrame, path: str) -> str:
+    from lexspark.session import remove_at_exit
+
+    df.write.parquet(path)
+    remove_at_exit(df.sparkSession, path)
+    return path
+
+
+def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
+    """Distinct (pattern, text_id) with the pattern literally inside the text; blank patterns match nothing.
+
+    Text ids are unique; patterns may repeat.
+
+    A text can contain a pattern only if, for each word of the pattern, one of its own
+    whitespace-separated tokens contains that word. So words are matched against the *vocabulary*
+    of the texts on short character grams, the pattern word found in the fewest texts becomes its
+    anchor, and only texts holding a token of the anchor are compared with the pattern. A pattern of one
+    word needs no comparison: a token that holds the word proves the text does.
+    """
+    wanted, tokens, leads = _leads(patterns, pattern, texts, text_id, text)
+    if leads is None:
+        return wanted.select("_pattern", F.lit(None).cast(texts.schema[text_id].dataType).alias(text_id)).where(F.lit(False)) \
+            .withColumnRenamed("_pattern", pattern)
     # Pairs of small ids, needed twice.
     use_checkpoints(patterns.sparkSession)
     candidates = tokens.join(leads, "_token").select("_pattern", text_id).distinct().checkpoint()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import fixed
 from lexspark.functions import text as tx
-from lexspark.operators.containment import contains_pairs, least_holding
+from lexspark.operators.containment import contains_pairs, first_containing, least_holding
 from lexspark.operators.eligibility import eligible, eligible_by_state
 from lexspark.operators.embedding import embed, embedded, failures
 from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup_section, section_map_sample
@@ -56,7 +56,8 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int, text: str =
     fields = chunks.select("chunk_id", F.posexplode(F.array("chunk_text", "title")).alias("_part", "_field")) \
         .where(F.col("_field").isNotNull())
     keyed = fields.select(F.struct("chunk_id", "_part").alias("_key"), "_field")
-    hits = contains_pairs(questions, text, keyed, "_key", "_field")
+    # a chunk has at most two fields, so its 2k least keys hold its k least chunks
+    hits = first_containing(questions, text, keyed, "_key", "_field", 2 * k)
     pairs = hits.select(text, "_key.chunk_id").distinct()
     first = top_k(pairs, [text], ["chunk_id"], k)
     described = first.join(chunks.select(*RESULT_COLUMNS), "chunk_id")
