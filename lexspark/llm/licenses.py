@@ -20,8 +20,8 @@ The join of block prefixes with template prefixes is an equi-join on the word's
 small parameter and are broadcast. Results are exact: every block meeting the threshold is found.
 
 Defined cases: null text has no words (n_words 0, no places, first/last null, labels ''). Repeated rows give
-equal rows. Very long texts are scanned whole, block by block. Callers' columns that clash with internal
-names are dropped from the working set and do not reach the result of ``report``.
+equal rows. Very long texts are scanned whole, block by block. Callers' other columns, clashing names included, are
+not read and do not reach the result of ``report``.
 """
 
 from __future__ import annotations
@@ -149,20 +149,23 @@ def matches(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame, templates: Templates | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    from lexspark.llm.store import saved
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
+    A row is keyed by its doc_id and two hashes of its text: rows of equal key are repeated rows and get the same
+    result, so nothing has to be written to number rows, and only narrow columns meet the matches in the join.
+    """
     templates = templates or Templates()
-    rows = saved(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-                 .select("_row", "doc_id", words(F.col("text")).alias("_words")), "licenses-words")
-    found = (matches(rows, templates).groupBy("_row")
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"),
+                   F.xxhash64(F.coalesce("text", F.lit(""))).alias("a"), F.hash(F.coalesce("text", F.lit(""))).alias("b"))
+    rows = docs.select(key.alias("_row"), "doc_id", words(F.col("text")).alias("_words"))
+    found = (matches(rows.select("_row", "_words"), templates).groupBy("_row")
              .agg(F.array_sort(F.collect_set("label")).alias("method"), F.max(F.col("overlap") / F.col("size")).alias("score")))
-    places = base_places(F.col("_words"))
+    places = rows.select("_row", "doc_id", F.size("_words").cast("long").alias("n_words"), base_places(F.col("_words")).alias("_places"))
     base = F.array_sort(F.array_distinct(F.transform(F.col("_places"), lambda p: p["label"])))
-    return (rows.withColumn("_places", places).join(found, "_row", "left")
-            .select("doc_id", F.size("_words").cast("long").alias("n_words"), F.size("_places").cast("long").alias("n_base"),
-                    F.array_min(F.transform("_places", lambda p: p["start"])).alias("first_word"),
-                    F.array_max(F.transform("_places", lambda p: p["start"])).alias("last_word"),
-                    F.array_join(base, ",").alias("base_labels"),
-                    F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce("method", F.array().cast("array<string>"))))), ",").alias("labels"),
+    narrow = places.select("_row", "doc_id", "n_words", F.size("_places").cast("long").alias("n_base"),
+                           F.array_min(F.transform("_places", lambda p: p["start"])).alias("first_word"),
+                           F.array_max(F.transform("_places", lambda p: p["start"])).alias("last_word"), base.alias("_base"))
+    return (narrow.join(found, "_row", "left")
+            .select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"),
+                    F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.coalesce("method", F.array().cast("array<string>"))))), ",").alias("labels"),
                     F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
