@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.store import saved
-from lexspark.llm.vocabularies import byte_bpe, encoded
+from lexspark.llm.vocabularies import byte_bpe, encoded_with_specials, special_tokens
 from lexspark.llm.words import slices
 
 LEAF_PIECES, FAN_IN, RECEIVERS = 10_000, 16, 48
@@ -40,16 +40,16 @@ def pieces(documents: DataFrame, size: int = 2048, vocabulary: str | None = None
     """Per piece: doc_id, piece, start, length and the CRC-32 of its ids as little-endian 32-bit numbers.
 
     Null text counts as empty; every document ends with ``end_id``. ``vocabulary`` is the path of the
-    byte-level BPE's ranks (by default that of the installed public vocabulary). The names of special
-    tokens inside a text are ordinary text.
+    byte-level BPE's ranks (by default that of the installed public vocabulary). Special tokens of the JSON
+    tokenizer inside a text get their own ids, as ``tokenizers`` gives them with add_special_tokens=False.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_bpe(vocabulary)
+        encoding, specials = byte_bpe(vocabulary), special_tokens()
         for part in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                ids = np.append(encoded(encoding, text or ""), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encoded_with_specials(encoding, text or "", specials), np.uint32(end_id)).astype("<u4")
                 out += [(doc, k, start, n, zlib.crc32(ids[start:start + n].tobytes()))
                         for k, (start, n) in enumerate(cut_points(len(ids), size))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -35,3 +35,28 @@ def encoded(encoding, text: str) -> np.ndarray:
         parts.append(np.array(encoding.encode_ordinary(text[at:end]), dtype=np.uint32))
         at = end
     return np.concatenate(parts)
+
+
+def special_tokens(path: str | None = None) -> dict[str, int]:
+    """The added special tokens of the JSON tokenizer: content -> id."""
+    import json
+
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as source:
+        return {t["content"]: t["id"] for t in json.load(source).get("added_tokens", []) if t.get("special")}
+
+
+def encoded_with_specials(encoding, text: str, specials: dict[str, int]) -> np.ndarray:
+    """Ids as the JSON tokenizer gives them: special tokens in the text are found first and keep their ids."""
+    if not specials or not any(s in text for s in specials):
+        return encoded(encoding, text)
+    import re
+
+    parts, at = [], 0
+    for found in re.finditer("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)), text):
+        parts.append(encoded(encoding, text[at:found.start()]))
+        parts.append(np.array([specials[found.group(0)]], dtype=np.uint32))
+        at = found.end()
+    parts.append(encoded(encoding, text[at:]))
+    return np.concatenate(parts)

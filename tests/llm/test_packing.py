@@ -10,16 +10,14 @@ from tokenizers import Tokenizer
 
 from lexspark.llm import packing
 from lexspark.llm.queries import QUERIES
-from lexspark.llm.vocabularies import byte_bpe, encoded
+from lexspark.llm.vocabularies import byte_bpe, encoded_with_specials, special_tokens
 
 from .conftest import ODD, SMALL
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def checked(rows, texts, tokenizer, size):
@@ -80,4 +78,11 @@ def test_best_fit(fills):
 
 def test_long_texts_are_cut_safely(tokenizer):
     text = "Some words, and  more\n\n words é   x 123's <|endoftext|> " * 6000
-    assert encoded(byte_bpe(), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoded_with_specials(byte_bpe(), text, special_tokens()).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_token_as_the_json_tokenizer(spark, documents, tokenizer, table):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>x"), (3, "no special <|endoftext| here")]
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = table(packing.sequences(documents(texts), size=2048))
+    checked(rows, texts, tokenizer, 2048)
