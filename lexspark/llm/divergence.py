@@ -140,10 +140,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, budget: int
            .groupBy("lang", "source", "other").agg(F.sum(F.abs(F.col("p") - F.col("zo"))).alias("g_vs_z")))
     # terms both hold: a self-join on (lang, term), at most one posting a source each
     theirs = scored.select("lang", "term", F.col("source").alias("other"), F.col("p").alias("po"), F.col("z").alias("zo"))
-    both = (scored.join(theirs, ["lang", "term"]).where(F.col("source") != F.col("other"))
+    # each unordered pair once (source < other), mirrored afterwards
+    half = (scored.join(theirs, ["lang", "term"]).where(F.col("source") < F.col("other"))
             .groupBy("lang", "source", "other")
             .agg(F.count("*").alias("n_both"), F.sum(F.abs(F.col("p") - F.col("po"))).alias("both"),
                  F.sum(F.abs(F.col("p") - F.col("zo"))).alias("g_vs_zo"), F.sum(F.abs(F.col("po") - F.col("z"))).alias("o_vs_zg")))
+    both = half.unionByName(half.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), "n_both", "both",
+                                        F.col("o_vs_zg").alias("g_vs_zo"), F.col("g_vs_zo").alias("o_vs_zg")))
     back = fan.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), F.col("g_vs_z").alias("o_vs_z"))
     zero = F.lit(0).cast("long")
     value = (F.coalesce("both", zero) + F.coalesce("g_vs_z", zero) - F.coalesce("g_vs_zo", zero)
@@ -153,6 +156,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, budget: int
              .join(both, ["lang", "source", "other"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), value.cast("long").alias("value")))
 
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item").asc())
-    ranked = pairs.unionByName(terms).withColumn("rank", F.row_number().over(order).cast("int"))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top)).select("lang", "source", "part", "item", F.col("value").cast("long"), "rank")
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
+    ranked_pairs = pairs.withColumn("rank", F.row_number().over(order).cast("int"))
+    # a filter on row_number alone lets Spark keep the best ``top`` of each group before the shuffle
+    ranked_terms = terms.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= top)
+    return ranked_pairs.unionByName(ranked_terms).select("lang", "source", "part", "item", F.col("value").cast("long"), "rank")
