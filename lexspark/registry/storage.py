@@ -10,7 +10,7 @@ from lexspark.plans import corpus
 from lexspark.registry import inputs
 from lexspark.registry.base import query
 from lexspark.registry.views import view
-from lexspark.session import scratch_path
+from lexspark.session import remove_at_exit, scratch_path
 from lexspark.sources import sinks, tables
 from lexspark.streaming import jobs
 
@@ -111,6 +111,32 @@ def stm_query_log_append(spark, sf):
         "query_id", "original_query", "detected_lang", "intent", "agent_used", "response_time_ms")
 
 
+@query("stm_answer_log", """SELECT question_id::varchar AS query_id, question AS original_query, question AS english_query, detected_lang, intent, agent_used
+FROM c_routed""")
+def stm_answer_log(spark, sf):
+    """Questions arrive as files in two deliveries (the second re-sends a third of the first); the stream is stopped
+    and started again on the same checkpoint between them. Every question is classified and logged once."""
+    from lexspark.plans import answers
+
+    questions = view(spark, sf, "routed_questions")
+    asked = questions.select("*", F.col("question_id").cast("string").alias("query_id"), F.current_timestamp().alias("asked_at"))
+    folder, target, state = scratch_path(spark, "questions-in"), scratch_path(spark, "answer-log"), scratch_path(spark, "answer-state")
+    first = asked.where(F.abs(F.xxhash64("query_id")) % 2 == 0)
+    second = asked.where(F.abs(F.xxhash64("query_id")) % 2 == 1).unionByName(first.where(F.abs(F.xxhash64("query_id")) % 3 == 0))
+
+    def answer(batch):
+        routed = answers.classify(batch.drop("query_id"))
+        stamp = F.col("asked_at") if "asked_at" in routed.columns else None
+        return answers.log_rows(routed, query_id=F.col("question_id").cast("string"), timestamp=stamp).drop("response_time_ms")
+
+    for delivery in (first, second):
+        delivery.write.mode("append").parquet(folder)
+        jobs.answer_log(spark, folder, first.schema, answer, target, state)  # a new start each time: a restart
+    for path in (folder, target, state):
+        remove_at_exit(spark, path)
+    return spark.read.parquet(target).select("query_id", "original_query", "english_query", "detected_lang", "intent", "agent_used")
+
+
 def _log_sql(table: str) -> str:
     from lexspark.registry.views import VIEWS
 
