@@ -321,12 +321,13 @@ def route_app(questions: DataFrame, chunk_vectors: DataFrame, sections: DataFram
         F.transform("_e", lambda e: F.struct(e.scheme_name.alias("name"), e.ministry.alias("ministry"))).alias("eligible_schemes"),
         F.coalesce(F.array_join(line, "\n"), F.lit("")).alias("_context"),
         tx.fill(fixed.APP_SCHEME_PROMPT, **{c: F.col(c) for c in ("occupation", "income", "state")}).alias("_ask"), F.lit(1).alias("_one"))
-    scheme = asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE).withColumn("_one", F.lit(1)).join(shown, "_one")
+    # ``shown`` is one row (one profile), ``lines`` one row (a global aggregate): they are the sides to broadcast
+    scheme = asked.where(F.col("agent_used") == fixed.SCHEME_ROUTE).withColumn("_one", F.lit(1)).join(F.broadcast(shown), "_one")
 
     lines = section_map_sample(mapping).agg(
         F.array_sort(F.collect_list(F.struct("ipc_section", "bns_section", "ipc_title", "line"))).alias("_l")).select(
         F.array_join(F.transform("_l", lambda e: e.line), "\n").alias("_context"), F.lit(1).alias("_one"))
-    compare = asked.where(F.col("agent_used") == fixed.COMPARE_ROUTE).withColumn("_one", F.lit(1)).join(lines, "_one").withColumn(
+    compare = asked.where(F.col("agent_used") == fixed.COMPARE_ROUTE).withColumn("_one", F.lit(1)).join(F.broadcast(lines), "_one").withColumn(
         "_ask", tx.fill(fixed.APP_COMPARE_PROMPT, query=F.col("question")))
 
     def answered(df: DataFrame) -> DataFrame:
