@@ -87,11 +87,11 @@ def _leads(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, te
 
 
 def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, text: str, k: int,
-                     blocks: int = 64) -> DataFrame:
+                     blocks: int = 64, first: int = 4, growth: int = 4) -> DataFrame:
     """(pattern, text_id, rank): per pattern the ``k`` least text ids whose text holds it literally (top-k containment).
 
     Postings of a pattern's anchor token are visited in text-id order: the texts are range-partitioned by id into
-    ``blocks`` ordered blocks, visited in rounds of 1, 2, 4, ... blocks. Each round verifies the candidates of the
+    ``blocks`` ordered blocks, visited in rounds of ``first`` blocks, then ``growth`` times as many each round. Each round verifies the candidates of the
     patterns still open, keeps at most ``k`` hits of each, and closes the patterns that have ``k``; so a pattern
     that stands in every text ends after the first block, and no round hands on more than ``k`` rows a pattern.
     Text ids are unique; patterns may repeat; blank patterns match nothing.
@@ -112,7 +112,7 @@ def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_i
     ordered = spark.read.parquet(path)
     postings = ordered.select(text_id, "_block", F.explode(_tokens(text)).alias("_token"))
     cuts = sorted(r[0] for r in ordered.select("_block").distinct().collect())  # at most ``blocks`` numbers
-    open_leads, found, start, width = leads, None, 0, 1
+    open_leads, found, start, width = leads, None, 0, first
     while start < len(cuts) and open_leads is not None:
         visit = cuts[start:start + width]
         here = postings.where(F.col("_block").isin(visit)).join(open_leads, "_token").select("_pattern", text_id).distinct()
@@ -128,7 +128,7 @@ def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_i
         open_leads = spark.read.parquet(_write(open_leads, scratch_path(spark, "open-leads")))
         if open_leads.isEmpty():
             open_leads = None
-        start, width = start + width, width * 2
+        start, width = start + width, width * growth
     if found is None:
         return empty
     ranked = top_k(found, ["_pattern"], [text_id], k)
