@@ -51,8 +51,12 @@ def _runs(budget: int):
 
     def spill(block: dict) -> pd.DataFrame:
         keys = sorted(block, key=lambda k: (k[2], k[0], k[1]))
-        return pd.DataFrame({"lang": [k[0] for k in keys], "source": [k[1] for k in keys], "term": [k[2] for k in keys],
-                             "count": [block[k][0] for k in keys], "docs": [block[k][1] for k in keys]})
+        held: dict[tuple[str, str], int] = {}
+        for lang, _, term in keys:
+            held[(lang, term)] = held.get((lang, term), 0) + block[(lang, _, term)][1]
+        return pd.DataFrame({"lang": [k[0] for k in keys] + [k[0] for k in held], "source": [k[1] for k in keys] + [None] * len(held),
+                             "term": [k[2] for k in keys] + [k[1] for k in held],
+                             "count": [block[k][0] for k in keys] + [0] * len(held), "docs": [0] * len(keys) + list(held.values())})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block: dict[tuple[str, str, str], list[int]] = {}
@@ -86,6 +90,9 @@ def _p(count: str, total: str, size: str):
 def frequencies(docs: DataFrame, budget: int = BUDGET, python: bool = False) -> DataFrame:
     """(lang, source, term, count, docs): block postings of every task merged per hash shard.
 
+    Occurrences are counted per (lang, source, term) with docs 0; documents holding a term are counted per
+    (lang, term) on rows whose source is null (real sources are never null), as only the language's count is needed.
+
     By default the blocks are those of Spark's partial aggregation, which holds a task's postings in a hash map
     until its memory fills, spills it as a sorted run, and merges the runs after the shuffle by hash shard: the
     same single-pass indexing, in the JVM. ``python=True`` builds the blocks explicitly in Python tasks with a
@@ -99,11 +106,13 @@ def frequencies(docs: DataFrame, budget: int = BUDGET, python: bool = False) ->
         # One scan gives both kinds of posting: each occurrence (count 1) and each distinct term of a document (docs 1).
         pieces = F.array_remove(F.split(F.translate("text", _UPPER, _LOWER), _BETWEEN), "")
         terms = clean.select("lang", "source", pieces.alias("t")).select("lang", "source", "t", F.array_distinct("t").alias("u"))
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        one, zero, nobody = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string")
         both = F.concat(
-            F.arrays_zip(F.col("t").alias("term"), F.array_repeat(one, F.size("t")).alias("count"), F.array_repeat(zero, F.size("t")).alias("docs")),
-            F.arrays_zip(F.col("u").alias("term"), F.array_repeat(zero, F.size("u")).alias("count"), F.array_repeat(one, F.size("u")).alias("docs")))
-        runs = terms.select("lang", "source", F.inline(both))
+            F.arrays_zip(F.col("t").alias("term"), F.array_repeat(F.col("source"), F.size("t")).alias("source"),
+                         F.array_repeat(one, F.size("t")).alias("count"), F.array_repeat(zero, F.size("t")).alias("docs")),
+            F.arrays_zip(F.col("u").alias("term"), F.array_repeat(nobody, F.size("u")).alias("source"),
+                         F.array_repeat(zero, F.size("u")).alias("count"), F.array_repeat(one, F.size("u")).alias("docs")))
+        runs = terms.select("lang", F.inline(both))
     return runs.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
@@ -116,7 +125,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, budget: int
     by_lang = merged.groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("count").alias("lang_count"))
     kept = by_lang.where(F.col("df") >= min_docs).select("lang", "term", "lang_count")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("lang_count").alias("NL"))
-    postings = merged.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "count")
+    postings = merged.where(F.col("source").isNotNull()).join(kept.select("lang", "term"), ["lang", "term"], "left_semi") \
+        .select("lang", "source", "term", "count")
     totals = postings.groupBy("lang", "source").agg(F.sum("count").alias("N"), F.count("*").alias("held"))
     groups = saved(groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
                    .select("lang", "source", F.coalesce("N", F.lit(0)).cast("long").alias("N"),
