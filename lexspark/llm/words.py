@@ -1,10 +1,10 @@
 """Words, hashes and sliding windows of whole Arrow batches, without a loop over words.
 
-All texts of a slice lie in one byte buffer. Sums of values times powers of a base, modulo the prime
-2**61 - 1, give the hash of any stretch of bytes as a difference of two sums; the same trick over word
+All texts of a slice lie in one byte buffer. Sums of values times powers of a base, modulo two primes
+below 2**31, give the hash of any stretch of bytes as a difference of two sums; the same trick over word
 hashes gives the hash of any stretch of words. (Modulo 2**64, as before, whole families of strings such
-as Thue-Morse words collide for every base; modulo a prime, two different stretches of n values collide
-with probability below n / 2**61.)
+as Thue-Morse words collide for every base; modulo two primes, two different stretches of n values
+collide with probability about (n / 2**31) ** 2.)
 """
 
 from __future__ import annotations
@@ -27,59 +27,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PRIME = (1 << 61) - 1
-_P = np.uint64(PRIME)
-_LOW31, _LOW30, _LOW32 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64((1 << 32) - 1)
+#: two primes below 2**31: products of two residues fit in 64 bits, and prefix sums of residues do for 2**33 values
+PRIMES = (2_147_483_647, 2_147_483_629)
+_BYTE_VALUES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo 2**61 - 1 for any 64-bit x."""
-    x = (x & _P) + (x >> np.uint64(61))
-    x = (x & _P) + (x >> np.uint64(61))
-    return np.where(x >= _P, x - _P, x)
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo 2**61 - 1, for a, b below 2**61, in 64-bit pieces."""
-    a1, a0 = a >> np.uint64(31), a & _LOW31
-    b1, b0 = b >> np.uint64(31), b & _LOW31
-    middle = a1 * b0 + a0 * b1  # below 2**62
-    m1, m0 = middle >> np.uint64(30), middle & _LOW30  # middle * 2**31 = m1 * 2**61 + m0 * 2**31
-    return _reduced(_reduced(a1 * b1 * np.uint64(2) + m1 + (m0 << np.uint64(31))) + _reduced(a0 * b0))
-
-
-_BYTE_VALUES = _reduced(_mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE)))
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**61 - 1, by doubling."""
-    base %= PRIME
-    known = _POWERS.get(base)
+def _powers(base: int, n: int, prime: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo ``prime``, by doubling."""
+    base %= prime
+    known = _POWERS.get((base, prime))
     if known is None or len(known) < n:
         known = np.ones(1, dtype=np.uint64)
         while len(known) < n:
-            step = np.full(len(known), pow(base, len(known), PRIME), dtype=np.uint64)
-            known = np.concatenate([known, _times(known, step)])
-        _POWERS[base] = known
+            known = np.concatenate([known, known * np.uint64(pow(base, len(known), prime)) % np.uint64(prime)])
+        _POWERS[(base, prime)] = known
     return known[:n]
 
 
-def _sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values * base**i modulo 2**61 - 1: halves are summed apart, so nothing overflows."""
-    terms = _times(_reduced(values), _powers(base, len(values)))
-    high = np.zeros(len(values) + 1, dtype=np.uint64)
-    low = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(terms >> np.uint64(32), out=high[1:])
-    np.cumsum(terms & _LOW32, out=low[1:])
-    return _reduced(_times(_reduced(high), np.full(len(high), np.uint64(1 << 32))) + _reduced(low))
+def _sums(values: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+    """Prefix sums of values * base**i, one array per prime."""
+    out = []
+    for prime in PRIMES:
+        p = np.uint64(prime)
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values % p * _powers(base, len(values), prime) % p, out=sums[1:])
+        out.append(sums % p)
+    return tuple(out)
 
 
-def _stretches(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    inverse = pow(base % PRIME, -1, PRIME)
-    scale = _powers(inverse, int(starts.max()) + 1 if len(starts) else 0)
-    difference = _reduced(sums[ends] + _P - sums[starts])
-    return _mixed(_times(difference, scale[starts]))
+def _stretches(sums: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """One 64-bit hash of each stretch: its residues for both primes, side by side, then mixed."""
+    parts = []
+    for held, prime in zip(sums, PRIMES):
+        p = np.uint64(prime)
+        scale = _powers(pow(base % prime, -1, prime), int(starts.max()) + 1 if len(starts) else 0, prime)
+        parts.append((held[ends] + p - held[starts]) % p * scale[starts] % p)
+    return _mixed((parts[0] << np.uint64(32)) | parts[1])
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -158,7 +142,7 @@ class Sequences:
 
     def windows(self, length: int) -> np.ndarray:
         """Hash of the ``length`` words from each position on, whether or not they are of one text."""
-        starts = np.arange(max(0, len(self.sums) - length))
+        starts = np.arange(max(0, len(self.sums[0]) - length))
         return self.between(starts, starts + length)
 
 

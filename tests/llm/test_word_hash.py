@@ -27,12 +27,16 @@ def test_equal_stretches_agree_wherever_they_stand():
     assert len(set(windows.tolist())) == len(windows) - 51  # only the planted repeats collide
 
 
-def test_mulmod_against_python():
+def test_sums_against_python():
     rng = np.random.default_rng(9)
-    a = rng.integers(0, words.PRIME, size=1000, dtype=np.uint64)
-    b = rng.integers(0, words.PRIME, size=1000, dtype=np.uint64)
-    assert words._times(a, b).tolist() == [(int(x) * int(y)) % words.PRIME for x, y in zip(a, b)]
-    assert words._powers(7, 300).tolist() == [pow(7, i, words.PRIME) for i in range(300)]
+    values = rng.integers(0, 2**64 - 1, size=300, dtype=np.uint64)
+    for prime, sums in zip(words.PRIMES, words._sums(values, 12345)):
+        assert words._powers(7, 300, prime).tolist() == [pow(7, i, prime) for i in range(300)]
+        want, total = [0], 0
+        for i, v in enumerate(values.tolist()):
+            total = (total + v % prime * pow(12345, i, prime)) % prime
+            want.append(total)
+        assert sums.tolist() == want
 
 
 def test_substring_dedup_keeps_thue_morse_documents(documents, table):
