@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators.windows import top_k
+from lexspark.operators.windows import global_row_number, top_k
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "row_count") -> DataFrame:
@@ -26,6 +26,19 @@ def collect_by_class(df: DataFrame, label: str, name: str, order_by: Sequence[st
     return counts.join(named, label).orderBy(F.desc("scheme_count"), label)
 
 
+def paged_by_class(df: DataFrame, label: str, name: str, order_by: Sequence[str], page_size: int = 100) -> DataFrame:
+    """Per class its names in order, as numbered pages of at most ``page_size``: (class, page, count, names).
+
+    Rows are numbered per class by range partitioning (no task sees a whole class), so a page is the group of
+    rows with the same (row - 1) div page_size; no list grows with the class. ``count`` is the class's row count.
+    """
+    numbered = global_row_number(df.select(label, name, *[c for c in order_by if c != name]), list(order_by), [label], "_row", "_total")
+    pages = numbered.withColumn("page", ((F.col("_row") - 1) / page_size).cast("long") + 1)
+    lists = pages.groupBy(label, "page").agg(
+        F.max("_total").alias("scheme_count"), F.array_sort(F.collect_list(F.struct("_row", F.col(name).alias("_name")))).alias("_e"))
+    return lists.select(label, "page", "scheme_count", F.transform("_e", lambda e: e["_name"]).alias("schemes"))
+
+
 def collection_stats(vectors: DataFrame, model: str, source: str) -> DataFrame:
     """Number of vectors, their dimension, and what they were made with and from."""
     return vectors.agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dimension")).select(

@@ -155,6 +155,17 @@ def agg_collect_by_class(spark, sf):
     return collected.withColumn("schemes", F.array_join("schemes", "|"))
 
 
+
+@query("agg_collect_by_class_pages", f"""SELECT category, page, max(total) AS scheme_count, string_agg(scheme_name, '|' ORDER BY rn) AS schemes
+FROM (SELECT *, (rn - 1) // 20 + 1 AS page FROM (SELECT *, count(*) OVER (PARTITION BY category) AS total,
+  row_number() OVER (PARTITION BY category ORDER BY scheme_name, source_file) AS rn
+  FROM (SELECT *, {_CLASSES} AS category FROM c_schemes WHERE scheme_name IS NOT NULL))) GROUP BY category, page""")
+def agg_collect_by_class_pages(spark, sf):
+    """The class lists of ``agg_collect_by_class`` as pages of at most 20 names."""
+    classed = corpus.classify_schemes(inputs.schemes(spark, sf).where(F.col("scheme_name").isNotNull()))
+    paged = reports.paged_by_class(classed, "category", "scheme_name", ["scheme_name", "source_file"], page_size=20)
+    return paged.withColumn("schemes", F.array_join("schemes", "|"))
+
 # --- windows, sorts, unions --------------------------------------------------------------------
 @query("win_global_id", "SELECT filename, row_number() OVER (ORDER BY filename) AS row_id FROM v_raw_docs")
 def win_global_id(spark, sf):
