@@ -92,9 +92,9 @@ def stm_file_ingest(spark, sf):
     schema = tables.read_table(spark, sf, "documents").schema
     target, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
     jobs.ingest_files(
-        spark, sf, schema,
+        spark, tables.stream_path(sf, "documents"), schema,
         lambda raw: raw.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("filename"), "text"),
-        target, state, pattern="documents.parquet")
+        target, state)
     return spark.read.parquet(target).select("filename", "text", "char_count")
 
 
@@ -102,7 +102,7 @@ def stm_file_ingest(spark, sf):
 def stm_query_log_append(spark, sf):
     logs = view(spark, sf, "query_logs")
     schema = tables.read_table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(schema).parquet(tables.stream_path(sf, "events"))
     stream.createOrReplaceTempView(name := _table("events"))
     shaped = spark.sql(_log_sql(name)).select(*logs.columns)
     target, state = scratch_path(spark, "query-log"), scratch_path(spark, "log-state")
