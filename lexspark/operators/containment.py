@@ -1,4 +1,8 @@
-"""Which texts contain which patterns, as equi-joins instead of a nested loop."""
+"""Which texts contain which patterns, as equi-joins instead of a nested loop.
+
+Patterns, words and texts all grow with the tables, and the size of compressed files says little about them, so the
+joins carry a merge hint: none of their sides is broadcast.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +43,7 @@ def _holding(words: DataFrame, vocabulary: DataFrame) -> DataFrame | None:
         return None
     return (
         vocabulary.withColumn("_gram", F.explode(_grams("_token", sizes)))
-        .join(distinct_words, "_gram")
+        .join(distinct_words.hint("merge"), "_gram")
         .where(F.contains("_token", "_word"))
         .drop("_gram")
     )
@@ -57,7 +61,7 @@ def least_holding(words: DataFrame, word: str, texts: DataFrame, text_id: str, t
     held = _holding(asked, first.select("_token").distinct())
     if held is None:
         return first.select(F.col("_token").alias(word), group, text_id).where(F.lit(False))
-    hits = first.join(held, "_token").select(F.col("_word").alias(word), group, text_id).distinct()
+    hits = first.join(held.hint("merge"), "_token").select(F.col("_word").alias(word), group, text_id).distinct()
     return top_k(hits, [word, group], [text_id], k).drop("rank")
 
 
@@ -75,14 +79,14 @@ def _leads(patterns: DataFrame, pattern: str, texts: DataFrame, text_id: str, te
         return wanted, tokens, None
     reach = matched.groupBy("_word").agg(F.sum("_texts").alias("_reach"))
     anchors = (
-        words.join(reach, "_word", "left")
+        words.join(reach.hint("merge"), "_word", "left")
         .groupBy("_pattern")
         .agg(F.count("*").alias("_words"), F.count("_reach").alias("_found"),
              F.min(F.struct("_reach", "_word")).alias("_rarest"))
         .where(F.col("_words") == F.col("_found"))
         .select("_pattern", F.col("_rarest._word").alias("_word"))
     )
-    leads = anchors.join(matched, "_word").select("_pattern", "_token")
+    leads = anchors.join(matched.hint("merge"), "_word").select("_pattern", "_token")
     return wanted, tokens, leads
 
 
@@ -115,11 +119,11 @@ def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_i
     open_leads, found, start, width = leads, None, 0, first
     while start < len(cuts) and open_leads is not None:
         visit = cuts[start:start + width]
-        here = postings.where(F.col("_block").isin(visit)).join(open_leads, "_token").select("_pattern", text_id).distinct()
+        here = postings.where(F.col("_block").isin(visit)).join(open_leads.hint("merge"), "_token").select("_pattern", text_id).distinct()
         proven = ~F.col("_pattern").rlike(SPACE)
         texts_here = ordered.where(F.col("_block").isin(visit)).select(text_id, F.col(text).alias("_text"))
         hits = here.where(proven).unionByName(
-            here.where(~proven).join(texts_here, text_id).where(F.contains("_text", "_pattern")).select("_pattern", text_id))
+            here.where(~proven).join(texts_here.hint("merge"), text_id).where(F.contains("_text", "_pattern")).select("_pattern", text_id))
         kept = top_k(hits, ["_pattern"], [text_id], k).drop("rank")
         found = kept if found is None else found.unionByName(kept)
         found = spark.read.parquet(_write(found, scratch_path(spark, "first-hits")))
@@ -132,7 +136,7 @@ def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_i
     if found is None:
         return empty
     ranked = top_k(found, ["_pattern"], [text_id], k)
-    return wanted.join(ranked, "_pattern").select(F.col("_pattern").alias(pattern), text_id, "rank")
+    return wanted.join(ranked.hint("merge"), "_pattern").select(F.col("_pattern").alias(pattern), text_id, "rank")
 
 
 def _write_done(spark, path: str) -> None:
@@ -166,10 +170,10 @@ def contains_pairs(patterns: DataFrame, pattern: str, texts: DataFrame, text_id:
             .withColumnRenamed("_pattern", pattern)
     # Pairs of small ids, needed twice.
     use_checkpoints(patterns.sparkSession)
-    candidates = tokens.join(leads, "_token").select("_pattern", text_id).distinct().checkpoint()
+    candidates = tokens.join(leads.hint("merge"), "_token").select("_pattern", text_id).distinct().checkpoint()
     proven = ~F.col("_pattern").rlike(SPACE)
     compared = (
-        candidates.where(~proven).join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+        candidates.where(~proven).join(texts.select(text_id, F.col(text).alias("_text")).hint("merge"), text_id)
         .where(F.contains("_text", "_pattern")).select("_pattern", text_id)
     )
     return candidates.where(proven).unionByName(compared).withColumnRenamed("_pattern", pattern)

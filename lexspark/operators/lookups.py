@@ -44,7 +44,8 @@ def lookup_by_number(queries: DataFrame, mapping: DataFrame) -> DataFrame:
         for order, side in enumerate(["ipc_section", "bns_section"])
     ]
     best = first_row(sides[0].unionByName(sides[1]), "number", ["side"])
-    return numbers.join(best, "number").select("query_id", *MAP_COLUMNS)
+    # Both sides of these joins grow, and the size of a compressed file says little about its rows: no broadcast.
+    return numbers.join(best.hint("merge"), "number").select("query_id", *MAP_COLUMNS)
 
 
 def lookup_by_topic(queries: DataFrame, mapping: DataFrame, rows: int = 3) -> DataFrame:
@@ -60,9 +61,9 @@ def lookup_by_topic(queries: DataFrame, mapping: DataFrame, rows: int = 3) -> Da
     once = filed.select("text").distinct().withColumn("body", F.col("text"))
     hits = contains_pairs(topics.select("topic"), "topic", once, "text", "body")
     leading = top_k(filed.distinct(), ["text"], order, rows, "text_rank").drop("text_rank")
-    found = hits.join(leading, "text").drop("text").distinct()
+    found = hits.join(leading.hint("merge"), "text").drop("text").distinct()
     best = top_k(found, ["topic"], order, rows)
-    return topics.join(best, "topic").select("query_id", "rank", *MAP_COLUMNS)
+    return topics.join(best.hint("merge"), "topic").select("query_id", "rank", *MAP_COLUMNS)
 
 
 def section_map_sample(mapping: DataFrame, rows: int = 5) -> DataFrame:
