@@ -1,13 +1,15 @@
 """Exact nearest neighbours between two tables of vectors (squared Euclidean distance).
 
-Two ways lead to the same rows:
+Equal queries are searched once. Two ways lead to the same rows:
 
 * few queries - their matrix fits a stated number of bytes: it is broadcast, the vectors are read
   where they lie, and each task hands on only its best ``k`` per query;
-* many queries - both sides are cut into cells around pivots and joined on the cell. A first pass
-  over the query's own cell gives a bound on its k-th distance, and the second pass visits only the
-  cells that the triangle inequality cannot rule out. Big cells are cut into slices and their
-  queries into blocks, so no task holds more than one slice and one block.
+* many queries - the vectors are dealt into slices and the queries into blocks, by hashes, and every
+  slice meets every block in a task of its own. Each row is copied once per block (or slice), not once
+  per cell that a query may reach, and no task holds more than one slice and one block.
+
+Inside a task the slice is cut into cells around some of its vectors; the triangle inequality rules out
+cells, and a single-precision product with a proven margin picks the few pairs whose distance is computed.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,174 +28,238 @@ from lexspark.operators.windows import top_k
 from lexspark.session import use_checkpoints
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 20_000
-PIVOTS_MOST = 2048
+BLOCK_ROWS = 100_000
+TASKS = 48
 _FILTER_SOURCES = 1000
 _DIGITS = 9  # distances are ranked after rounding, so that summation order cannot swap equal ones
-_TILE = 4_000_000
+_TILE = 2048
+_CELL_ROWS = 1024
+_EXACT_ROWS = 100_000
+
+
+def _whole(column) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def _matrix(column) -> np.ndarray:
+    column = _whole(column)
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = np.diff(column.offsets.to_numpy())
+    if sizes.min() != sizes.max():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), int(sizes[0]))
+
+
+def _names(column) -> np.ndarray:
+    return np.array(_whole(column).to_pylist(), dtype=object)
+
+
+def _distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct vector, number of its distinct vector for every row), distinct ones in mixed order."""
+    bits = np.ascontiguousarray(vectors + 0.0).view(np.uint64)
+    odd = np.random.default_rng(0).integers(0, 1 << 63, bits.shape[1], dtype=np.uint64) * 2 + 1
+    mixed = ((bits ^ (bits >> np.uint64(29))) * odd).sum(1, dtype=np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    _, first, group = np.unique(mixed, return_index=True, return_inverse=True)
+    if not np.array_equal(bits[first][group], bits):  # two vectors share a hash
+        _, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+    return first, group.reshape(-1)
+
+
+def _place(sorted_keys: np.ndarray) -> np.ndarray:
+    """Position of every row within the run of its key."""
+    new = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, dtype="int64")
+    return np.arange(len(sorted_keys)) - np.repeat(new, np.diff(np.append(new, len(sorted_keys))))
+
+
+class _Slice:
+    """Distinct vectors of a slice in cells, ready to be searched."""
+
+    def __init__(self, vectors: np.ndarray, scale: float, pivots: int | None):
+        self.vectors, self.scale, dim = vectors, scale, vectors.shape[1]
+        wide = vectors / scale
+        count = min(len(vectors), pivots or max(1, min(256, len(vectors) // _CELL_ROWS)))
+        self.centres = wide[:count]  # the order is mixed, so these are spread over the slice
+        home = np.zeros(len(vectors), dtype="int64")
+        for low in range(0, len(wide), _TILE):
+            part = wide[low:low + _TILE]
+            home[low:low + _TILE] = ((self.centres ** 2).sum(1)[None, :] - 2.0 * (part @ self.centres.T)).argmin(1)
+        self.order = np.argsort(home, kind="stable")
+        self.cuts = np.searchsorted(home[self.order], np.arange(count + 1))
+        placed = wide[self.order]
+        away = np.sqrt(((placed - self.centres[home[self.order]]) ** 2).sum(1))
+        self.reach = np.array([away[a:b].max() if b > a else -np.inf for a, b in zip(self.cuts, self.cuts[1:], strict=False)])
+        lengths = (placed * placed).sum(1)
+        self.single = np.concatenate([placed, lengths[:, None]], 1).astype("float32")
+        # rounding of dim + 1 products and sums of numbers up to 1 (scaled lengths), with a margin of two
+        self.slack = 8.0 * (dim + 8) * 2.0 ** -24
+
+    def candidates(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) pairs that hold at least the k nearest distinct vectors of every query."""
+        wide = queries / self.scale
+        lengths = (wide * wide).sum(1)
+        single = np.concatenate([-2.0 * wide, np.ones((len(wide), 1))], 1).astype("float32")
+        gaps = lengths[:, None] + (self.centres ** 2).sum(1)[None, :] - 2.0 * (wide @ self.centres.T)
+        gaps = np.sqrt(np.maximum(gaps, 0.0) + 1e-12)
+        own, bound = gaps.argmin(1), np.full(len(wide), np.inf)
+        cells = list(zip(self.cuts, self.cuts[1:], strict=False))
+        for cell in np.unique(own):
+            low, high = cells[cell]
+            rows = np.flatnonzero(own == cell)
+            if high - low >= k:
+                bound[rows] = np.partition(single[rows] @ self.single[low:high].T, k - 1, axis=1)[:, k - 1]
+        rows = np.flatnonzero(np.isinf(bound))
+        some = self.single[:max(k, 4 * _CELL_ROWS)]
+        if len(rows) and len(some) >= k:
+            bound[rows] = np.partition(single[rows] @ some.T, k - 1, axis=1)[:, k - 1]
+        limit = bound + 2 * self.slack
+        least = np.maximum(gaps - self.reach[None, :] - 1e-5, 0.0)
+        visits = least ** 2 - lengths[:, None] <= limit[:, None]
+        limit = np.nextafter(limit.astype("float32"), np.float32(np.inf))
+        found_q, found_v, found_s = [], [], []
+        for cell, (low, high) in enumerate(cells):
+            rows = np.flatnonzero(visits[:, cell])
+            if not len(rows) or high == low:
+                continue
+            rough = single[rows] @ self.single[low:high].T
+            hits = np.flatnonzero(rough <= limit[rows][:, None])
+            q, v = np.divmod(hits, high - low)
+            found_q.append(rows[q]), found_v.append(v + low), found_s.append(rough.reshape(-1)[hits])
+        if not found_q:
+            return np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
+        q, v, s = np.concatenate(found_q), np.concatenate(found_v), np.concatenate(found_s)
+        ranked = np.lexsort((s, q))
+        q, v, s = q[ranked], v[ranked], s[ranked].astype("float64")
+        kth = np.full(len(wide), np.inf)
+        last = _place(q) == k - 1
+        kth[q[last]] = s[last]
+        kept = s <= kth[q] + 2 * self.slack
+        return q[kept], self.order[v[kept]]
+
+
+def _best_of_block(queries: np.ndarray, vectors: np.ndarray, k: int, pivots: int | None = None):
+    """(query index, vector index, distance) of the k best per query of this block; ties go to the lesser index.
+
+    Equal vectors are compared once and contribute their k least indices, so copies cost nothing extra.
+    """
+    first, group = _distinct(vectors)
+    members = np.argsort(group, kind="stable")  # rows of one vector lie together, in order
+    starts = np.searchsorted(group[members], np.arange(len(first)))
+    sizes = np.minimum(np.diff(np.append(starts, len(members))), k)
+    distinct = vectors[first]
+    scale = float(np.sqrt(max((queries ** 2).sum(1).max(), (distinct ** 2).sum(1).max()))) or 1.0
+    block = _Slice(distinct, scale, pivots)
+    found = []
+    for low in range(0, len(queries), _TILE):
+        tile = queries[low:low + _TILE]
+        q, v = block.candidates(tile, k)
+        exact = np.concatenate([np.zeros(0)] + [
+            np.round(((tile[q[a:a + _EXACT_ROWS]] - distinct[v[a:a + _EXACT_ROWS]]) ** 2).sum(1), _DIGITS)
+            for a in range(0, len(q), _EXACT_ROWS)])
+        near = np.lexsort((exact, q))  # the k-th distance first, so that only what it lets through is spread to its copies
+        kth = np.full(len(tile), np.inf)
+        last = _place(q[near]) == k - 1
+        kth[q[near][last]] = exact[near][last]
+        kept = exact <= kth[q]
+        q, v, exact = q[kept], v[kept], exact[kept]
+        repeat = sizes[v]
+        offset = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+        rows = members[np.repeat(starts[v], repeat) + offset]
+        q, exact = np.repeat(q, repeat), np.repeat(exact, repeat)
+        ranked = np.lexsort((rows, exact, q))
+        ranked = ranked[_place(q[ranked]) < k]
+        found.append((q[ranked] + low, rows[ranked], exact[ranked]))
+    return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
+
+
+def _search(queries: np.ndarray, wanted: np.ndarray, vectors, k: int, pivots: int | None = None) -> pa.Table:
+    """Best k per query (by its number); a query with a wanted source sees only vectors of that source."""
+    ids = _whole(vectors["vector_id"])
+    order = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+    matrix, sources, ids = _matrix(vectors["vector"])[order], _names(vectors["source"])[order], ids.take(pa.array(order))
+    found_q, found_v, found_d = [np.zeros(0, dtype="int64")], [np.zeros(0, dtype="int64")], [np.zeros(0)]
+    for source in dict.fromkeys(wanted):
+        asking = np.flatnonzero(np.array([w is source or w == source for w in wanted], dtype=bool))
+        offered = np.arange(len(ids)) if source is None else np.flatnonzero(sources == source)
+        if len(asking) and len(offered):
+            q, v, d = _best_of_block(queries[asking], matrix[offered], k, pivots)
+            found_q.append(asking[q]), found_v.append(offered[v]), found_d.append(d)
+    return pa.table({"query": np.concatenate(found_q), "vector_id": ids.take(pa.array(np.concatenate(found_v))),
+                     "distance": np.concatenate(found_d)})
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, 0))
+def _k_best(found: pa.Table, k: int) -> pa.Table:
+    order = pc.sort_indices(found, sort_keys=[(name, "ascending") for name in ("query", "distance", "vector_id")],
+                            null_placement="at_start")
+    ranked = found.take(order)
+    return ranked.filter(pa.array(_place(ranked["query"].to_numpy()) < k))
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+def _named(best: pa.Table, query_ids) -> pa.Table:
+    """Ids in place of the queries' numbers, once per task."""
+    return pa.table({"query_id": _whole(query_ids).take(_whole(best["query"])), "vector_id": _whole(best["vector_id"]),
+                     "distance": _whole(best["distance"])})
 
 
-def _apart(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Distances to the pivots, the same bits for the same vector in whatever batch it comes."""
-    return np.sqrt(np.stack([((vectors - centre) ** 2).sum(1) for centre in centres], axis=1))
+def _scan(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, pivots: int | None, block_rows: int) -> DataFrame:
+    """Queries (already checked to be few) to every task; vectors stay where they are."""
+    local = queries.toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (_whole(local["query_id"]), _matrix(local["vector"]), _names(local["wanted"])))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, matrix, wanted = shared.value
+        best, held, rows = None, [], 0
 
-def _best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """(query index, id, distance) holding at least the k best per query of this block.
+        def searched() -> pa.Table:
+            found = _search(matrix, wanted, pa.Table.from_batches(held), k, pivots)
+            return found if best is None else _k_best(pa.concat_tables([best, found]), k)
 
-    Equal vectors are compared once and contribute their k least ids, so copies cost nothing extra.
-    """
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    distinct, group = np.unique(vectors, axis=0, return_inverse=True)
-    members = np.argsort(group, kind="stable")  # ids of one vector lie together, in id order
-    starts = np.searchsorted(group[members], np.arange(len(distinct)))
-    sizes = np.minimum(np.diff(np.append(starts, len(members))), k)
+        for batch in batches:
+            if len(query_ids) and batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= block_rows:
+                best = searched()
+                held, rows = [], 0
+        if held:
+            best = searched()
+        if best is not None:
+            yield from _named(best, query_ids).to_batches(max_chunksize=10_000)
 
-    found_q, found_v = [], []
-    step = max(1, _TILE // max(1, len(distinct)))
-    for low in range(0, len(queries), step):
-        tile = queries[low:low + step]
-        rough = _squared(tile, distinct)
-        if len(distinct) > k:
-            scale = (tile * tile).sum(1) + (distinct * distinct).sum(1).max()
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (1.0 + scale)
-            q, v = np.nonzero(rough <= kth[:, None])
-        else:
-            q, v = np.nonzero(np.ones_like(rough, dtype=bool))
-        found_q.append(q + low)
-        found_v.append(v)
-    q, v = np.concatenate(found_q), np.concatenate(found_v)
-    exact = np.round(((queries[q] - distinct[v]) ** 2).sum(1), _DIGITS)
-    repeat = sizes[v]
-    offset = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-    picked = members[np.repeat(starts[v], repeat) + offset]
-    return np.repeat(q, repeat), ids[picked], np.repeat(exact, repeat)
-
-
-def _k_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    return frame.sort_values(["query", "distance", "vector_id"]).groupby("query", sort=False).head(k)
-
-
-def _named(best: pd.DataFrame, query_ids: np.ndarray) -> pd.DataFrame:
-    """Ids in place of the queries' numbers, once per task."""
-    return pd.DataFrame({"query_id": query_ids[best["query"].to_numpy(dtype="int64")], "vector_id": best["vector_id"].to_numpy(),
-                         "distance": best["distance"].to_numpy()})
+    return vectors.mapInArrow(run, schema)
 
 
-def _search(queries, wanted, vectors, ids, sources, k: int) -> pd.DataFrame:
-    """Best k per query (by its number); a query with a wanted source sees only vectors of that source."""
-    frames = []
-    for source in pd.unique(wanted):
-        asking = np.flatnonzero(pd.isna(wanted) if pd.isna(source) else wanted == source)
-        offered = np.arange(len(ids)) if pd.isna(source) else np.flatnonzero(sources == source)
-        if len(asking) and len(offered):
-            q, v, d = _best_of_block(queries[asking], vectors[offered], ids[offered], k)
-            frames.append(pd.DataFrame({"query": asking[q], "vector_id": v, "distance": d}))
-    if not frames:
-        return pd.DataFrame({"query": np.zeros(0, dtype="int64"), "vector_id": ids[:0], "distance": np.zeros(0)})
-    return _k_best(pd.concat(frames), k)
+def _grid(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, n_queries: int, pivots: int | None,
+          block_rows: int) -> DataFrame:
+    """Every slice of the vectors against every block of the queries, for query tables of any size.
 
+    Slices and blocks are as many as their rows ask for, and at least so many that ``TASKS`` tasks have work;
+    these are shared out so that what is copied is least.
+    """
+    n_vectors = vectors.count()
+    blocks = max(-(-n_queries // block_rows), round((TASKS * n_queries / max(n_vectors, 1)) ** 0.5), 1)
+    blocks = min(blocks, max(n_queries, 1))
+    slices = max(-(-n_vectors // block_rows), min(-(-TASKS // blocks), -(-n_vectors // _CELL_ROWS)), 1)
 
-def _scan(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType) -> DataFrame:
-    """Queries (already checked to be few) to every task; vectors stay where they are."""
-    local = queries.toPandas()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (local["query_id"].to_numpy(), _matrix(local["vector"]), local["wanted"].to_numpy(dtype=object)))
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix, wanted = shared.value
-        best = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            found = _search(matrix, wanted, _matrix(batch["vector"]), batch["vector_id"].to_numpy(),
-                            batch["source"].to_numpy(dtype=object), k)
-            best = found if best is None else _k_best(pd.concat([best, found]), k)
-        if best is not None:
-            yield _named(best, query_ids)
-
-    return vectors.mapInPandas(run, schema)
-
-
-def _cells(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, pivots: int | None,
-           block_rows: int) -> DataFrame:
-    """Neighbours through cells around pivots, for query tables of any size."""
-    if pivots is None:  # so that cells grow only with the root of the table
-        pivots = int(min(PIVOTS_MOST, max(16, vectors.count() ** 0.5)))
-    # Pivots: a fixed number of vectors in hash order, spread over the table and the same every time.
-    chosen = vectors.orderBy(F.xxhash64("vector_id"), "vector_id").limit(pivots).select("vector").toPandas()
-    centres = np.unique(_matrix(chosen["vector"]), axis=0)
-    home_type = "struct<cell:int,reach:double>"
-
-    @F.pandas_udf(home_type)
-    def home(column: pd.Series) -> pd.DataFrame:
-        away = _apart(_matrix(column), centres)
-        cell = away.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "reach": away[np.arange(len(cell)), cell]})
-
-    # Written once with its cells: read for the statistics and by both visits.
-    stored = vectors.withColumn("_home", home("vector")).select("*", "_home.cell", "_home.reach").drop("_home").checkpoint()
-    asked = queries.withColumn("_home", home("vector")).select("*", "_home.cell").drop("_home")
-    # One row per pivot.
-    stats = stored.groupBy("cell").agg(F.count("*").alias("n"), F.min("reach").alias("near"),
-                                       F.max("reach").alias("far")).toPandas()
-    rows = np.zeros(len(centres), dtype="int64")
-    near, far = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
-    rows[stats["cell"]], near[stats["cell"]], far[stats["cell"]] = stats["n"], stats["near"], stats["far"]
-    slices = np.maximum(1, -(-rows // block_rows))
-
-    def visit(visits: DataFrame) -> DataFrame:
-        load = np.zeros(len(centres), dtype="int64")
-        for cell, n in visits.groupBy("cell").count().collect():  # one row per pivot
-            load[cell] = n
-        blocks = np.maximum(1, -(-load // block_rows))
-
-        def per_cell(values: np.ndarray):
-            return F.element_at(F.lit([int(v) for v in values]), F.col("cell") + 1).cast("bigint")
-
-        def every(values: np.ndarray):
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), per_cell(values) - 1))
-
-        left = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), per_cell(blocks))) \
-            .withColumn("slice", every(slices))
-        right = stored.where(per_cell(load) > 0).withColumn("slice", F.pmod(F.xxhash64("vector_id"), per_cell(slices))) \
-            .withColumn("block", every(blocks))
-
-        def match(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(v):
-                return pd.DataFrame({name: [] for name in schema.names})
-            best = _search(_matrix(q["vector"]), q["wanted"].to_numpy(dtype=object), _matrix(v["vector"]),
-                           v["vector_id"].to_numpy(), v["source"].to_numpy(dtype=object), k)
-            return _named(best, q["query_id"].to_numpy())
-
-        keys = ["cell", "slice", "block"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, schema)
-
-    # k rows per query; both the bounds and the result need them.
-    own = top_k(visit(asked), ["query_id"], ["distance", "vector_id"], k).checkpoint()
-    bounds = own.groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).alias("bound"))
-
-    @F.pandas_udf("array<int>")
-    def others(column: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
-        away = _apart(_matrix(column), centres)
-        least = np.maximum(np.maximum(away - far, near - away), 0.0)
-        most = np.sqrt(bound.astype("float64").fillna(np.inf).to_numpy() + 10.0 ** -_DIGITS)
-        open_cells = (least <= most[:, None] * (1 + 1e-9) + 1e-9) & (rows > 0)
-        open_cells[np.arange(len(cell)), cell.to_numpy()] = False
-        return pd.Series([np.flatnonzero(row).astype("int32") for row in open_cells])
-
-    onward = asked.join(bounds, "query_id", "left").withColumn(
-        "cell", F.explode(others("vector", "cell", "bound"))).drop("bound")
-    return own.select(*schema.names).unionByName(visit(onward))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("slice", every(slices))
+    right = vectors.withColumn("slice", F.pmod(F.xxhash64("vector_id"), F.lit(slices)).cast("int")).withColumn("block", every(blocks))
+
+    def match(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not q.num_rows or not v.num_rows:
+            return _named(pa.table({"query": pa.array([], pa.int64()), "vector_id": v["vector_id"].slice(0, 0),
+                                    "distance": pa.array([], pa.float64())}), q["query_id"].slice(0, 0))
+        return _named(_search(_matrix(q["vector"]), _names(q["wanted"]), v, k, pivots), q["query_id"])
+
+    keys, parts = ["slice", "block"], 3 * slices * blocks  # more parts than keys, so that few parts get two
+    return left.repartition(parts, *keys).groupBy(*keys).cogroup(right.repartition(parts, *keys).groupBy(*keys)) \
+        .applyInArrow(match, schema)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
@@ -204,36 +271,33 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
     ``wanted`` names a query column with the source to search in (NULL: all sources); the
     restriction comes before the ranking. Ties go to the lesser vector id.
     """
-    value = F.col(vector).cast("array<double>")
     asked = queries.where(F.col(vector).isNotNull()).select(
-        F.col(query_id).alias("query_id"), value.alias("vector"),
+        F.col(query_id).alias("_id"), F.col(vector).alias("vector"),
         (F.col(wanted) if wanted else F.lit(None).cast("string")).alias("wanted"))
     stored = vectors.where(F.col(vector).isNotNull()).select(
-        F.col(vector_id).alias("vector_id"), value.alias("vector"),
+        F.col(vector_id).alias("vector_id"), F.col(vector).alias("vector"),
         (F.col(source) if wanted else F.lit(None).cast("string")).alias("source"))
     schema = T.StructType([
-        T.StructField("query_id", asked.schema["query_id"].dataType),
+        T.StructField("query_id", T.StringType()),
         T.StructField("vector_id", stored.schema["vector_id"].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    asked = asked.persist()  # measured here and then read; the queries are not embedded twice
+    use_checkpoints(queries.sparkSession)  # read by the search and for its ids; the queries are not embedded twice
+    keyed = asked.withColumn("query_id", F.md5(F.to_json(F.struct("vector", "wanted")))).checkpoint()
+    once = keyed.select("query_id", "vector", "wanted").dropDuplicates(["query_id"])
     # What is broadcast: numbers, ids and wanted sources; and what each task hands on, k rows per query.
-    ids = F.length(F.col("query_id").cast("string")) + F.coalesce(F.length("wanted"), F.lit(0))
-    size = asked.agg(F.coalesce(F.sum(F.size("vector").cast("bigint") * 8 + ids + 32 * k), F.lit(0))).first()[0]
+    ids = F.length("query_id") + F.coalesce(F.length("wanted"), F.lit(0))
+    size, rows = once.agg(F.coalesce(F.sum(F.size("vector").cast("bigint") * 8 + ids + 32 * k), F.lit(0)), F.count("*")).first()
     if wanted:  # few sources become a filter on the scan, which then skips the folders of all others
-        sources = [row[0] for row in asked.select("wanted").distinct().limit(_FILTER_SOURCES + 1).collect()]
+        sources = [row[0] for row in once.select("wanted").distinct().limit(_FILTER_SOURCES + 1).collect()]
         if len(sources) <= _FILTER_SOURCES and None not in sources:
             stored = stored.where(F.col("source").isin(sources))
-    if size <= broadcast_bytes:
-        found = _scan(asked, stored, k, schema)
-        asked.unpersist()
-    else:
-        use_checkpoints(queries.sparkSession)
-        written = asked.checkpoint()
-        asked.unpersist()
-        found = _cells(written, stored, k, schema, pivots, block_rows)
-    best = top_k(found, ["query_id"], ["distance", "vector_id"], k)
-    return best.select(F.col("query_id").alias(query_id), F.col("vector_id").alias(vector_id), "rank", "distance",
+    found = _scan(once, stored, k, schema, pivots, block_rows) if size <= broadcast_bytes else \
+        _grid(once, stored, k, schema, rows, pivots, block_rows)
+    # k rows per query: plans that read them more than once do not search again.
+    each = top_k(found, ["query_id"], ["distance", "vector_id"], k).drop("rank").checkpoint()
+    best = top_k(each.join(keyed.select("query_id", "_id").hint("merge"), "query_id"), ["_id"], ["distance", "vector_id"], k)
+    return best.select(F.col("_id").alias(query_id), F.col("vector_id").alias(vector_id), "rank", "distance",
                        similarity(F.col("distance")).alias("similarity"))
 
 
