@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lexspark.functions import fixed
 from lexspark.operators.changes import snapshot_diff
 
 DIMENSION = 64
+_ROWS_AT_ONCE = 256
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 _WORD = re.compile(r"[^\W_]+")
 
@@ -74,23 +76,27 @@ def embed(df: DataFrame, text: str = "chunk_text", embedder: Embedder | None = N
     """
     function = embedder or hashed_counts()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = frame[text].fillna("").tolist()
-            vectors: list = []
-            errors: list = []
-            for low in range(0, len(texts), batch_size):
-                part = texts[low:low + batch_size]
-                got, error = _attempt(function, part, tries, wait, pause)
-                vectors += list(got) if got is not None else [None] * len(part)
-                errors += [error] * len(part)
-            frame[column] = pd.Series(vectors, index=frame.index, dtype=object)
-            frame["embed_status"] = ["ok" if e is None else "failed" for e in errors]
-            frame["embed_error"] = errors
-            yield frame
+    step = batch_size * -(-_ROWS_AT_ONCE // batch_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):  # only these rows become Python objects at a time
+                rows = batch.slice(start, step)
+                texts = ["" if t is None else t for t in rows.column(rows.schema.get_field_index(text)).to_pylist()]
+                vectors: list = []
+                errors: list = []
+                for low in range(0, len(texts), batch_size):
+                    part = texts[low:low + batch_size]
+                    got, error = _attempt(function, part, tries, wait, pause)
+                    vectors += list(got) if got is not None else [None] * len(part)
+                    errors += [error] * len(part)
+                added = {column: pa.array(vectors, pa.list_(pa.float64())),
+                         "embed_status": pa.array(["ok" if e is None else "failed" for e in errors], pa.string()),
+                         "embed_error": pa.array(errors, pa.string())}
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added.values()], names=[*rows.schema.names, *added])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{columns}, {column} array<double>, embed_status string, embed_error string")
+    return df.mapInArrow(run, f"{columns}, {column} array<double>, embed_status string, embed_error string")
 
 
 def embedded(df: DataFrame) -> DataFrame:
