@@ -12,7 +12,9 @@ _PATHS: dict[tuple[str, str, str], str] = {}
 
 
 def raw_schemes(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.clean_documents(view(spark, sf, "scheme_texts"))
+    # The table is a small file of many rows, read by one or two tasks; the patterns on its texts need more of them.
+    texts = view(spark, sf, "scheme_texts").repartition(4 * spark.sparkContext.defaultParallelism, "filename")
+    return corpus.clean_documents(texts)
 
 
 def schemes(spark: SparkSession, sf: str) -> DataFrame:
