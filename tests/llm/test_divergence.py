@@ -52,3 +52,19 @@ def test_empty(spark):
 def test_python_blocks_equal_spark_aggregation(spark, small_rows, table):
     docs = spark.createDataFrame(small_rows + ODD, SCHEMA)
     assert table(divergence.frequencies(docs, budget=5, python=True)) == table(divergence.frequencies(docs))
+
+
+def test_blocks_are_counted_before_they_leave_a_task(spark):
+    rows = [(1, "Aa bb aA\u00e9 aa", "x", "s"), (2, "bb-bb", "x", "s"), (3, "aa", "y", "s"), (4, "", "x", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA).select("lang", "source", "text").coalesce(1)
+    block = divergence._block(docs.toArrow().combine_chunks().to_batches()[0])
+    assert sorted(block.to_pylist(), key=lambda r: (r["lang"], r["term"])) == [
+        {"lang": "x", "source": "s", "term": "aa", "count": 2, "docs": 1},
+        {"lang": "x", "source": "s", "term": "aa\u00e9", "count": 1, "docs": 1},
+        {"lang": "x", "source": "s", "term": "bb", "count": 3, "docs": 2},
+        {"lang": "y", "source": "s", "term": "aa", "count": 1, "docs": 1}]
+
+
+def test_words_reach_spark_as_postings(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "s")], SCHEMA)
+    assert "Generate" not in divergence.frequencies(docs)._jdf.queryExecution().executedPlan().toString()
