@@ -128,7 +128,7 @@ def first_containing(patterns: DataFrame, pattern: str, texts: DataFrame, text_i
         found = kept if found is None else found.unionByName(kept)
         found = spark.read.parquet(_write(found, scratch_path(spark, "first-hits")))
         full = top_k(found, ["_pattern"], [text_id], k).groupBy("_pattern").count().where(F.col("count") >= k).select("_pattern")
-        open_leads = open_leads.join(full, "_pattern", "left_anti")
+        open_leads = open_leads.join(full.hint("merge"), "_pattern", "left_anti")
         open_leads = spark.read.parquet(_write(open_leads, scratch_path(spark, "open-leads")))
         if open_leads.isEmpty():
             open_leads = None

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from lexspark.functions.text import similarity
 from lexspark.operators.windows import top_k
-from lexspark.session import use_checkpoints
+from lexspark.session import saved, use_checkpoints
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 100_000
@@ -282,8 +282,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
         T.StructField("vector_id", stored.schema["vector_id"].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    use_checkpoints(queries.sparkSession)  # read by the search and for its ids; the queries are not embedded twice
-    keyed = asked.withColumn("query_id", F.md5(F.to_json(F.struct("vector", "wanted")))).checkpoint()
+    # Read by the search and for its ids, so the queries are not embedded twice.
+    keyed = saved(asked.withColumn("query_id", F.md5(F.to_json(F.struct("vector", "wanted")))), "queries")
     once = keyed.select("query_id", "vector", "wanted").dropDuplicates(["query_id"])
     # What is broadcast: numbers, ids and wanted sources; and what each task hands on, k rows per query.
     ids = F.length("query_id") + F.coalesce(F.length("wanted"), F.lit(0))
@@ -295,6 +295,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
     found = _scan(once, stored, k, schema, pivots, block_rows) if size <= broadcast_bytes else \
         _grid(once, stored, k, schema, rows, pivots, block_rows)
     # k rows per query: plans that read them more than once do not search again.
+    use_checkpoints(queries.sparkSession)
     each = top_k(found, ["query_id"], ["distance", "vector_id"], k).drop("rank").checkpoint()
     best = top_k(each.join(keyed.select("query_id", "_id").hint("merge"), "query_id"), ["_id"], ["distance", "vector_id"], k)
     return best.select(F.col("_id").alias(query_id), F.col("vector_id").alias(vector_id), "rank", "distance",

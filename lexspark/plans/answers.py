@@ -18,7 +18,7 @@ from lexspark.operators.lookups import lookup_by_number, lookup_by_topic, lookup
 from lexspark.operators.models import Model, score
 from lexspark.operators.vectors import filter_after_ranking, nearest
 from lexspark.operators.windows import top_k
-from lexspark.session import use_checkpoints
+from lexspark.session import saved, use_checkpoints
 
 RESULT_COLUMNS = ["chunk_id", "section_number", "title", "chunk_text", "source_law", "content_type"]
 LOG_COLUMNS = ["query_id", "original_query", "english_query", "detected_lang", "intent", "agent_used",
@@ -33,12 +33,9 @@ def embed_chunks(chunks: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return embedded(tried), failures(tried)
 
 
-def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: str = "question",
-             wanted: str | None = None, embedder=None, **options) -> DataFrame:
-    """Nearest chunks of every question with their metadata, best first.
-
-    Equal questions are embedded and searched once.
-    """
+def _ranked(questions: DataFrame, chunk_vectors: DataFrame, k: int, text: str, wanted: str | None, embedder,
+            **options) -> tuple[DataFrame, DataFrame]:
+    """(question_id, _ask) and (_ask, rank, chunk_id, distance, similarity): equal questions are embedded and searched once."""
     kept = [wanted] if wanted else []
     # A digest is the key, so that ids of any question are small.
     ask = F.md5(F.to_json(F.struct(text, wanted))) if wanted else F.md5(text)
@@ -46,8 +43,23 @@ def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: st
     asked = keyed.select(F.col(text).alias("_text"), *kept, "_ask").dropDuplicates(["_ask"])
     vectors = embedded(embed(asked, "_text", embedder))
     found = nearest(vectors, chunk_vectors, k, query_id="_ask", wanted=wanted, **options)
-    described = found.join(chunk_vectors.select(*RESULT_COLUMNS), "chunk_id")
-    return keyed.select("question_id", "_ask").join(described, "_ask").select(
+    return keyed.select("question_id", "_ask"), found
+
+
+def _described(chunks: DataFrame) -> DataFrame:
+    """Texts and metadata of chunks as the side of a join; a small compressed file of them is no reason to broadcast it."""
+    return chunks.select(*RESULT_COLUMNS).hint("merge")
+
+
+def retrieve(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: str = "question",
+             wanted: str | None = None, embedder=None, **options) -> DataFrame:
+    """Nearest chunks of every question with their metadata, best first.
+
+    Equal questions are embedded and searched once.
+    """
+    keyed, found = _ranked(questions, chunk_vectors, k, text, wanted, embedder, **options)
+    described = found.join(_described(chunk_vectors), "chunk_id")
+    return keyed.join(described.hint("merge"), "_ask").select(
         "question_id", "rank", *RESULT_COLUMNS, "distance", "similarity")
 
 
@@ -60,8 +72,8 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int, text: str =
     hits = first_containing(questions, text, keyed, "_key", "_field", 2 * k)
     pairs = hits.select(text, "_key.chunk_id").distinct()
     first = top_k(pairs, [text], ["chunk_id"], k)
-    described = first.join(chunks.select(*RESULT_COLUMNS), "chunk_id")
-    return questions.select("question_id", text).join(described, text).select(
+    described = first.join(_described(chunks), "chunk_id")
+    return questions.select("question_id", text).join(described.hint("merge"), text).select(
         "question_id", "rank", *RESULT_COLUMNS, F.lit(fixed.FALLBACK_SCORE).alias("similarity"))
 
 
@@ -80,7 +92,7 @@ def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted
     matching = offers.join(requests, (F.col("keyword") == F.col("_k")) & F.col("_offer").eqNullSafe(
         F.col("_wanted"))).select("keyword", "_wanted", "chunk_id")
     first = top_k(matching, ["keyword", "_wanted"], ["chunk_id"], k)
-    described = first.join(chunks.select(*RESULT_COLUMNS), "chunk_id").withColumnRenamed("_wanted", "_w") \
+    described = first.join(_described(chunks), "chunk_id").withColumnRenamed("_wanted", "_w") \
         .withColumnRenamed("keyword", "_k")
     joined = asked.join(described, (F.col("keyword") == F.col("_k")) & F.col("_wanted").eqNullSafe(F.col("_w")))
     return joined.select(
@@ -93,10 +105,11 @@ def first_keyword_search(questions: DataFrame, chunks: DataFrame, k: int, wanted
 def hybrid(questions: DataFrame, chunk_vectors: DataFrame, k: int, *, text: str = "question",
            wanted: str | None = None, embedder=None) -> DataFrame:
     """Nearest chunks; questions without any fall back to keyword search."""
-    # k rows per question, needed as a result and to see which questions came away empty.
-    use_checkpoints(questions.sparkSession)
-    near = retrieve(questions, chunk_vectors, k, text=text, wanted=wanted, embedder=embedder).checkpoint()
-    empty = questions.join(near.select("question_id").distinct(), "question_id", "left_anti")
+    # k ids per question, needed as a result and to see which questions came away empty; texts are joined afterwards.
+    keyed, found = _ranked(questions, chunk_vectors, k, text, wanted, embedder)
+    ids = saved(keyed.join(found.where(F.col("chunk_id").isNotNull()).hint("merge"), "_ask").drop("_ask"), "near")
+    empty = questions.join(ids.select("question_id").distinct().hint("merge"), "question_id", "left_anti")
+    near = ids.join(_described(chunk_vectors), "chunk_id")
     fallback = keyword_search(empty, chunk_vectors, k, text)
     columns = ["question_id", "rank", *RESULT_COLUMNS, "similarity"]
     return near.select(*columns, F.lit("semantic").alias("found_by")).unionByName(
