@@ -210,12 +210,13 @@ def compare_answers(queries: DataFrame, mapping: DataFrame, chunk_vectors: DataF
     # One row per query at most; the rest is searched for, so the hits are needed twice.
     use_checkpoints(queries.sparkSession)
     direct = by_number.unionByName(by_topic).checkpoint()
-    rest = queries.join(direct.select("query_id"), "query_id", "left_anti").select(
+    rest = queries.join(direct.select("query_id").hint("merge"), "query_id", "left_anti").select(
         F.col("query_id").alias("question_id"), tx.fill(fixed.COMPARE_RETRIEVAL_TEXT, query=F.col("query")).alias("question"))
     near = _ordered(retrieve(rest, chunk_vectors, 3), block=F.col("chunk_text")).select(
         F.col("question_id").alias("query_id"),
         F.array_join(F.transform("entries", lambda e: e.block), "\n").alias("_context"))
-    joined = queries.join(direct, "query_id", "left").join(near, "query_id", "left")
+    # All three have a row per query: no broadcast.
+    joined = queries.join(direct.hint("merge"), "query_id", "left").join(near.hint("merge"), "query_id", "left")
     hit = F.col("ipc_section").isNotNull()
     compare = tx.fill(fixed.COMPARE_PROMPT, old=F.col("ipc_section"), old_title=F.col("ipc_title"),
                       new=F.col("bns_section"), new_title=F.col("bns_title"), change=F.col("change_type"),

@@ -29,9 +29,13 @@ def test_answers_broadcast_neither_questions_nor_texts(spark):
                                     ("c2", "2", "Ring", "a red ring", "IPC", "legal_section")], answers.RESULT_COLUMNS[:4] + ["source_law", "content_type"])
     vectors = answers.embed_chunks(chunks)[0]
     asked = spark.createDataFrame([(1, "theft", None), (2, "ring", "nowhere")], "question_id long, question string, wanted string")
+    compared = spark.createDataFrame([(1, "12"), (2, "ring"), (3, "other")], "query_id long, query string")
+    mapping = spark.createDataFrame([("12", "Red Ring", "7", "blue bolt", "renamed", "moved", "none")], MAP_COLUMNS)
     near, both = answers.retrieve(asked, vectors, 1), answers.hybrid(asked, vectors, 1, wanted="wanted")
-    assert "Broadcast" not in _plan(near) and "Broadcast" not in _plan(both)
+    replies = answers.compare_answers(compared, mapping, vectors)
+    assert "Broadcast" not in _plan(near) and "Broadcast" not in _plan(both) and "Broadcast" not in _plan(replies)
     assert {(r.question_id, r.chunk_id, r.found_by) for r in both.collect()} == {(1, "c1", "semantic"), (2, "c2", "keyword")}
+    assert replies.count() == 3
 
 
 def test_a_hybrid_search_keeps_ids_only_until_texts_are_asked_for(spark):
