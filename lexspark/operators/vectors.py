@@ -1,6 +1,7 @@
 """Exact nearest neighbours between two tables of vectors (squared Euclidean distance).
 
-Equal queries are searched once. Two ways lead to the same rows:
+Equal queries are searched once; where many queries meet a table full of copies, each distinct vector is
+searched once too and its ``k`` least ids are joined to what was found. Two ways lead to the same rows:
 
 * few queries - their matrix fits a stated number of bytes: it is broadcast, the vectors are read
   where they lie, and each task hands on only its best ``k`` per query;
@@ -9,7 +10,8 @@ Equal queries are searched once. Two ways lead to the same rows:
   per cell that a query may reach, and no task holds more than one slice and one block.
 
 Inside a task the slice is cut into cells around some of its vectors; the triangle inequality rules out
-cells, and a single-precision product with a proven margin picks the few pairs whose distance is computed.
+cells, a single-precision product gives the least value of every other cell, and the k least of these bound
+what is looked at again, with a proven margin, so that few pairs have their distance computed.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ BLOCK_ROWS = 100_000
 TASKS = 48
 _FILTER_SOURCES = 1000
 _DIGITS = 9  # distances are ranked after rounding, so that summation order cannot swap equal ones
-_TILE = 2048
+_TILE = 512  # a tile against a cell stays in a core's cache
 _CELL_ROWS = 1024
 _EXACT_ROWS = 100_000
+_MANY_PAIRS = 10 ** 10  # from here on it pays to look for copies among the vectors
+_FEW_DISTINCT = 0.8
 
 
 def _whole(column) -> pa.Array:
@@ -119,6 +123,17 @@ class _Slice:
         least = np.maximum(gaps - self.reach[None, :] - 1e-5, 0.0)
         visits = least ** 2 - lengths[:, None] <= limit[:, None]
         limit = np.nextafter(limit.astype("float32"), np.float32(np.inf))
+        nearest = np.full(visits.shape, np.inf, dtype="float32")  # least value of every cell
+        for cell, (low, high) in enumerate(cells):
+            rows = np.flatnonzero(visits[:, cell])
+            if len(rows) and high > low:
+                part = single if len(rows) == len(single) else single[rows]
+                nearest[rows, cell] = (part @ self.single[low:high].T).min(1)
+        if len(cells) >= k:  # the k least of them belong to k vectors
+            least_k = np.partition(nearest, k - 1, axis=1)[:, k - 1].astype("float64") + 2 * self.slack
+            limit = np.minimum(limit, np.nextafter(least_k.astype("float32"), np.float32(np.inf)))
+        # the second product may be summed in another order than the first, which the margin covers
+        visits = nearest <= limit[:, None] + np.float32(self.slack)
         found_q, found_v, found_s = [], [], []
         for cell, (low, high) in enumerate(cells):
             rows = np.flatnonzero(visits[:, cell])
@@ -187,7 +202,9 @@ def _search(queries: np.ndarray, wanted: np.ndarray, vectors, k: int, pivots: in
         if len(asking) and len(offered):
             q, v, d = _best_of_block(queries[asking], matrix[offered], k, pivots)
             found_q.append(asking[q]), found_v.append(offered[v]), found_d.append(d)
-    return pa.table({"query": np.concatenate(found_q), "vector_id": ids.take(pa.array(np.concatenate(found_v))),
+    rows = pa.array(np.concatenate(found_v))
+    return pa.table({"query": np.concatenate(found_q), "vector_id": ids.take(rows),
+                     "vector_key": _whole(vectors["vector_key"]).take(pa.array(order)).take(rows),
                      "distance": np.concatenate(found_d)})
 
 
@@ -201,7 +218,7 @@ def _k_best(found: pa.Table, k: int) -> pa.Table:
 def _named(best: pa.Table, query_ids) -> pa.Table:
     """Ids in place of the queries' numbers, once per task."""
     return pa.table({"query_id": _whole(query_ids).take(_whole(best["query"])), "vector_id": _whole(best["vector_id"]),
-                     "distance": _whole(best["distance"])})
+                     "vector_key": _whole(best["vector_key"]), "distance": _whole(best["distance"])})
 
 
 def _scan(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, pivots: int | None, block_rows: int) -> DataFrame:
@@ -254,7 +271,8 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
     def match(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
             return _named(pa.table({"query": pa.array([], pa.int64()), "vector_id": v["vector_id"].slice(0, 0),
-                                    "distance": pa.array([], pa.float64())}), q["query_id"].slice(0, 0))
+                                    "vector_key": v["vector_key"].slice(0, 0), "distance": pa.array([], pa.float64())}),
+                          q["query_id"].slice(0, 0))
         return _named(_search(_matrix(q["vector"]), _names(q["wanted"]), v, k, pivots), q["query_id"])
 
     keys, parts = ["slice", "block"], 3 * slices * blocks  # more parts than keys, so that few parts get two
@@ -262,10 +280,27 @@ def _grid(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         .applyInArrow(match, schema)
 
 
+def _copies(vectors: DataFrame, k: int, enough: float) -> tuple[DataFrame, DataFrame | None]:
+    """(every distinct vector once under its least id, its key with its ``k`` least ids); None if copies are few
+    or there are not ``enough`` vectors.
+
+    The estimate only decides whether copies are worth a pass of their own, the results are the same.
+    """
+    rows = vectors.count()
+    if rows < enough or vectors.agg(F.approx_count_distinct(F.xxhash64("vector", "source"))).first()[0] > _FEW_DISTINCT * rows:
+        return vectors, None
+    # The source is part of the key, as a query may ask for one.
+    keyed = vectors.withColumn("vector_key", F.md5(F.to_json(F.struct("vector", "source"))))
+    ranked = top_k(keyed, ["vector_key"], ["vector_id"], k)  # each task drops what is beyond k before the shuffle
+    first = ranked.withColumn("vector", F.when(F.col("rank") == 1, F.col("vector")))
+    kept = saved(first.repartition(TASKS, "vector_key"), "distinct-vectors")
+    return kept.where("rank = 1").drop("rank"), kept.select("vector_key", "vector_id")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id",
             vector_id: str = "chunk_id", vector: str = "embedding", wanted: str | None = None,
             source: str = "source_law", broadcast_bytes: int = BROADCAST_BYTES, pivots: int | None = None,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, many_pairs: int = _MANY_PAIRS) -> DataFrame:
     """The ``k`` nearest stored vectors of every query: query, vector, rank, distance, similarity.
 
     ``wanted`` names a query column with the source to search in (NULL: all sources); the
@@ -276,10 +311,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
         (F.col(wanted) if wanted else F.lit(None).cast("string")).alias("wanted"))
     stored = vectors.where(F.col(vector).isNotNull()).select(
         F.col(vector_id).alias("vector_id"), F.col(vector).alias("vector"),
-        (F.col(source) if wanted else F.lit(None).cast("string")).alias("source"))
+        (F.col(source) if wanted else F.lit(None).cast("string")).alias("source"), F.lit(None).cast("string").alias("vector_key"))
     schema = T.StructType([
         T.StructField("query_id", T.StringType()),
         T.StructField("vector_id", stored.schema["vector_id"].dataType),
+        T.StructField("vector_key", T.StringType()),
         T.StructField("distance", T.DoubleType()),
     ])
     # Read by the search and for its ids, so the queries are not embedded twice.
@@ -292,11 +328,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "
         sources = [row[0] for row in once.select("wanted").distinct().limit(_FILTER_SOURCES + 1).collect()]
         if len(sources) <= _FILTER_SOURCES and None not in sources:
             stored = stored.where(F.col("source").isin(sources))
+    stored, members = _copies(stored, k, many_pairs / max(rows, 1))
     found = _scan(once, stored, k, schema, pivots, block_rows) if size <= broadcast_bytes else \
         _grid(once, stored, k, schema, rows, pivots, block_rows)
     # k rows per query: plans that read them more than once do not search again.
     use_checkpoints(queries.sparkSession)
     each = top_k(found, ["query_id"], ["distance", "vector_id"], k).drop("rank").checkpoint()
+    if members is not None:  # the k best vectors by their least ids hold the k best rows
+        each = each.drop("vector_id").join(members.hint("merge"), "vector_key")
     best = top_k(each.join(keyed.select("query_id", "_id").hint("merge"), "query_id"), ["_id"], ["distance", "vector_id"], k)
     return best.select(F.col("_id").alias(query_id), F.col("vector_id").alias(vector_id), "rank", "distance",
                        similarity(F.col("distance")).alias("similarity"))

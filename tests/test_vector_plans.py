@@ -1,5 +1,6 @@
 import numpy as np
 
+from lexspark.operators import vectors as vectors_module
 from lexspark.operators.embedding import embed
 from lexspark.operators.vectors import nearest
 
@@ -36,3 +37,26 @@ def test_embedding_turns_few_rows_at_a_time_into_objects(spark):
     made = embed(texts, embedder=lambda part: [[float(len(t))] for t in part], batch_size=100)
     assert "MapInArrow" in _plan(made)  # a pandas frame would hold a whole Arrow batch
     assert made.where("embed_status = 'ok' AND embedding[0] = coalesce(length(chunk_text), 0)").count() == 700
+
+
+def test_copies_are_searched_once_and_keep_their_ids(spark, rows):
+    rng = np.random.default_rng(5)
+    distinct = rng.normal(size=(40, 6)).round(2).tolist()
+    stored = [(f"v{i % 290:03d}" if i % 31 else None, distinct[i % 40], f"s{i % 3}") for i in range(300)]  # ids repeat and are null
+    vectors = spark.createDataFrame(stored, "chunk_id string, embedding array<double>, source_law string").repartition(3)
+    asked = spark.createDataFrame([(i, v, [None, "s1", "none"][i % 3]) for i, v in enumerate(rng.normal(size=(30, 6)).tolist())],
+                                  "qid long, embedding array<double>, wanted string")
+    for options in ({}, {"broadcast_bytes": 0, "block_rows": 9}):
+        for k in (3, 20):
+            plain, once = (rows(nearest(asked, vectors, k, query_id="qid", wanted="wanted", many_pairs=pairs, **options))
+                           for pairs in (10 ** 10, 0))
+            assert plain == once and len(once) == 20 * k
+
+
+def test_distinct_vectors_and_their_least_ids(spark, rows):
+    made = [(f"v{i:03d}", [float(i % 4), 1.0], "a" if i % 8 < 4 else "b") for i in range(80)]
+    stored = spark.createDataFrame(made, "vector_id string, vector array<double>, source string")
+    first, members = vectors_module._copies(stored, 2, 0)
+    assert rows(first, "vector_id", "vector", "source") == made[:8] and members.count() == 16
+    assert vectors_module._copies(stored, 2, 81)[1] is None  # too few to look
+    assert vectors_module._copies(stored.limit(4), 2, 0)[1] is None  # no copies
